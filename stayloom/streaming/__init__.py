@@ -1,0 +1 @@
+"""Intentionally empty: every time window of this library is a batch interval join (see ``operators.events``)."""
