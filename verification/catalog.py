@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from verification import events_queries  # noqa: F401
+from verification import relational_queries  # noqa: F401

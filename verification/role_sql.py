@@ -51,13 +51,14 @@ def with_roles(body: str, **extra: str) -> str:
     """Prefix ``body`` with every role (and extra CTE) it mentions, directly or through another."""
     pool = {**ROLE_CTES, **extra}
     ordered: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b\w+\b", text):
-            if name in pool and name not in ordered:
+            if name in pool and name not in entered:
+                entered.add(name)
                 visit(pool[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     visit(body)
     if not ordered:
