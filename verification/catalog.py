@@ -2,3 +2,4 @@
 
 from verification import events_queries  # noqa: F401
 from verification import relational_queries  # noqa: F401
+from verification import clinical_queries  # noqa: F401
