@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayloom.operators.moments import Moments, column_means, group_moments
+from stayloom.operators.ranks import order_statistics
+
 
 def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Pearson correlation of every column with the label, one row per column, from a single aggregate."""
@@ -18,3 +23,108 @@ def feature_vote(picks: DataFrame, *, top: int, seen: Column) -> DataFrame:
     """Features picked most often over repeated runs; equal counts go to the one seen first."""
     return picks.groupBy("feature").agg(F.count("*").alias("votes"), F.min(seen).alias("first_seen")).orderBy(
         F.desc("votes"), "first_seen").limit(top)
+
+
+@dataclass
+class LassoFit:
+    columns: list[str]
+    alpha: float
+    alphas: np.ndarray
+    cv_error: np.ndarray  # mean squared error per alpha, averaged over folds
+    coef: np.ndarray
+    corr: np.ndarray
+
+    def selected(self, top: int) -> list[str]:
+        """Columns with a non-zero coefficient, by absolute correlation with the label."""
+        kept = [i for i in range(len(self.columns)) if abs(self.coef[i]) > 0]
+        kept.sort(key=lambda i: -abs(self.corr[i]))
+        return [self.columns[i] for i in kept[:top]]
+
+
+def soft_threshold_descent(gram: np.ndarray, xy: np.ndarray, penalty: float, start: np.ndarray,
+                           tol: float = 1e-9, sweeps: int = 20_000) -> np.ndarray:
+    """Minimise ``w'Gw/2 - w'c + penalty * |w|_1`` by cyclic coordinate descent."""
+    w = start.copy()
+    residual = xy - gram @ w
+    diagonal = np.diag(gram)
+    usable = np.flatnonzero(diagonal > 0)
+    active = usable
+    for sweep in range(sweeps):
+        largest = 0.0
+        for j in active:
+            pull = residual[j] + diagonal[j] * w[j]
+            updated = np.sign(pull) * max(abs(pull) - penalty, 0.0) / diagonal[j]
+            step = updated - w[j]
+            if step:
+                residual -= gram[:, j] * step
+                w[j] = updated
+                largest = max(largest, abs(step) * np.sqrt(diagonal[j]))
+        scale = np.sqrt(diagonal.max(initial=0.0)) * np.abs(w).max(initial=0.0)
+        if largest <= tol * max(scale, 1e-300):
+            if len(active) == len(usable):
+                break
+            active = usable  # the working set has settled: look at every column once more
+        elif sweep % 10 == 9:
+            active = np.flatnonzero(w) if np.any(w) else usable
+    return w
+
+
+def lasso_cv(df: DataFrame, columns: Sequence[str], label: str, *, key: str, folds: int = 5, n_alphas: int = 100,
+             eps: float = 1e-3) -> LassoFit:
+    """Lasso with the penalty chosen by cross-validation over contiguous blocks of the integer key (runs jobs).
+
+    One pass collects the moments of every fold; the moments of its training part are the total minus the fold, so the
+    100-value path of each fold and the final fit need no further look at the rows.
+    """
+    names = [*columns, label]
+    total = df.count()
+    sizes = [total // folds + (1 if i < total % folds else 0) for i in range(folds)]
+    ends = np.cumsum(sizes)[:-1]
+    stats = order_statistics(df, F.col(key), [int(e) for e in ends])
+    fold = F.lit(folds - 1)
+    for i, end in reversed(list(enumerate(ends))):
+        fold = F.when(F.col(key) <= stats[int(end)][0], F.lit(i)).otherwise(fold)
+    parts = group_moments(df, names, group=fold, shift=column_means(df, names))
+    whole = sum(parts.values(), start=Moments(names, next(iter(parts.values())).shift,
+                                              np.zeros_like(next(iter(parts.values())).cross)))
+    centered = whole.centered()
+    gram, xy = centered[:-1, :-1], centered[:-1, -1]
+    top = np.abs(xy).max() / whole.n
+    alphas = np.geomspace(top, top * eps, n_alphas) if top > 0 else np.full(n_alphas, np.finfo(float).resolution)
+    error = np.zeros((len(parts), n_alphas))
+    for f, held_out in enumerate(parts.values()):
+        train = whole - held_out
+        c = train.centered()
+        test = held_out.centered(train.mean)
+        w = np.zeros(len(columns))
+        for a, alpha in enumerate(alphas):
+            w = soft_threshold_descent(c[:-1, :-1], c[:-1, -1], train.n * alpha, w)
+            residual = np.append(-w, 1.0)
+            error[f, a] = residual @ test @ residual / held_out.n
+    cv_error = error.mean(axis=0)
+    best = int(np.argmin(cv_error))
+    w = np.zeros(len(columns))
+    for alpha in alphas[: best + 1]:
+        w = soft_threshold_descent(gram, xy, whole.n * alpha, w)
+    return LassoFit(list(columns), float(alphas[best]), alphas, cv_error, w, whole.correlation()[:-1, -1])
+
+
+def lasso_table(df: DataFrame, fit: LassoFit, top: int) -> DataFrame:
+    """The selected features with rank, coefficient and correlation (at most one row per column)."""
+    rows = [(i, c, float(fit.coef[fit.columns.index(c)]), float(fit.corr[fit.columns.index(c)]))
+            for i, c in enumerate(fit.selected(top))]
+    return df.sparkSession.createDataFrame(rows, "rank int, feature string, coef double, corr double")
+
+
+def stable_features(df: DataFrame, columns: Sequence[str], label: str, *, key: str, impute: Callable[[DataFrame, int], DataFrame],
+                    seeds: Sequence[int] = range(10), top: int = 10) -> DataFrame:
+    """Impute and select once per seed, then keep the features picked most often (runs jobs).
+
+    ``impute(df, seed)`` returns the completed table of one run. Only the names picked per run reach the driver.
+    """
+    picks = []
+    for run, seed in enumerate(seeds):
+        chosen = lasso_cv(impute(df, seed), columns, label, key=key).selected(top)
+        picks += [(run, position, name) for position, name in enumerate(chosen)]
+    table = df.sparkSession.createDataFrame(picks, "run int, pos int, feature string")
+    return feature_vote(table, top=top, seen=F.col("run") * 1000 + F.col("pos"))
