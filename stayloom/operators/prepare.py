@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.functions.scalar import or_false
-from stayloom.operators.ranks import Cut, rank_cut
+from stayloom.operators.ranks import rank_cut
+
+SAMPLING_BOUNDS = (0, 2**60 - 1)
 
 
 def column_range(columns: Sequence[str], first: str, last: str, allowed: Collection[str] | None = None) -> list[str]:
@@ -60,7 +62,7 @@ def split_exact(df: DataFrame, *, key: str, fraction: float, seed: int) -> tuple
     row is sorted, moved or joined, and the two filters are complements.
     """
     order = sampling_order(key, seed)
-    cut = rank_cut(df, order, fraction=fraction)
+    cut = rank_cut(df, order, rows=lambda n: round(fraction * n), bounds=SAMPLING_BOUNDS)
     return df.filter(cut.upto(order)), df.filter(~cut.upto(order))
 
 
@@ -72,7 +74,8 @@ def balance_undersample(df: DataFrame, target: str, *, key: str, seed: int = 0)
     if sizes["p"] == sizes["n"]:
         return df
     larger = ~positive if sizes["n"] > sizes["p"] else positive
-    cut = rank_cut(df.filter(larger), order, rank=min(sizes["p"], sizes["n"]))
+    smaller = min(sizes["p"], sizes["n"])
+    cut = rank_cut(df.filter(larger), order, rows=lambda _: smaller, bounds=SAMPLING_BOUNDS)
     return df.filter(~larger | cut.upto(order))
 
 
@@ -80,6 +83,3 @@ def concat_flagged(train: DataFrame, verify: DataFrame, flag: str = "model") ->
     """Rows of both frames with a source flag: 1 for the first, 0 for the second."""
     return train.withColumn(flag, F.lit(1)).unionByName(verify.withColumn(flag, F.lit(0)))
 
-
-__all__ = ["Cut", "add_missing_columns", "balance_undersample", "column_range", "concat_flagged", "filled_share",
-           "filter_complete_rows", "filter_target_cohort", "sampling_order", "split_exact"]

@@ -77,13 +77,14 @@ def lasso_cv(df: DataFrame, columns: Sequence[str], label: str, *, key: str, fol
     100-value path of each fold and the final fit need no further look at the rows.
     """
     names = [*columns, label]
-    total = df.count()
-    sizes = [total // folds + (1 if i < total % folds else 0) for i in range(folds)]
-    ends = np.cumsum(sizes)[:-1]
-    stats = order_statistics(df, F.col(key), [int(e) for e in ends])
+
+    def last_ranks(total: int) -> list[int]:
+        sizes = [total // folds + (1 if i < total % folds else 0) for i in range(folds)]
+        return [int(e) for e in np.cumsum(sizes)[:-1]]
+
     fold = F.lit(folds - 1)
-    for i, end in reversed(list(enumerate(ends))):
-        fold = F.when(F.col(key) <= stats[int(end)][0], F.lit(i)).otherwise(fold)
+    for i, (last, _, _) in reversed(list(enumerate(order_statistics(df, F.col(key), last_ranks)))):
+        fold = F.when(F.col(key) <= last, F.lit(i)).otherwise(fold)
     parts = group_moments(df, names, group=fold, shift=column_means(df, names))
     whole = sum(parts.values(), start=Moments(names, next(iter(parts.values())).shift,
                                               np.zeros_like(next(iter(parts.values())).cross)))
