@@ -80,15 +80,20 @@ def prefix(code: Column, length: int = 3) -> Column:
 def recode(df: DataFrame, mapping: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """Recode text categories to numbers, column by column, for the columns that exist.
 
-    Values outside a column's mapping become NULL.
+    Text outside a column's mapping is read as a number where it is one, else NULL. Boolean columns become 1 and 0 and
+    numeric ones stay.
     """
-    present = {c: m for c, m in mapping.items() if c in df.columns}
+    types = dict(df.dtypes)
     exprs = {}
-    for name, values in present.items():
-        expr = F.lit(None).cast("int")
-        for text, number in reversed(list(values.items())):
-            expr = F.when(F.col(name) == text, F.lit(number)).otherwise(expr)
-        exprs[name] = expr
+    for name, values in mapping.items():
+        kind = types.get(name)
+        if kind == "boolean":
+            exprs[name] = F.col(name).cast("int")
+        elif kind == "string":
+            expr = F.col(name).try_cast("int")
+            for text, number in values.items():
+                expr = F.when(F.col(name) == text, F.lit(number)).otherwise(expr)
+            exprs[name] = expr
     return df.withColumns(exprs) if exprs else df
 
 

@@ -103,21 +103,45 @@ def multi_window_stats(stays: DataFrame, events: DataFrame, *, windows: Mapping[
     return pairs.groupBy(*STAY_KEYS, item).agg(*aggregates)
 
 
-def windowed_column_stats(stays: DataFrame, events: DataFrame, columns: Sequence[str], *, window: Window | None,
+def column_stats(columns: Sequence[str], prefix: str = "", only: Column | None = None) -> list[Column]:
+    """min / max / avg of several columns, named ``<prefix><column>_{min,max,avg}``."""
+    out = []
+    for c in columns:
+        shown = F.col(c) if only is None else F.when(only, F.col(c))
+        out += [F.min(shown).alias(f"{prefix}{c}_min"), F.max(shown).alias(f"{prefix}{c}_max"),
+                F.avg(shown).alias(f"{prefix}{c}_avg")]
+    return out
+
+
+def windowed_column_stats(stays: DataFrame, events: DataFrame, columns: Sequence[str], *, window: Window,
                           keys: Sequence[str] = ADMISSION_KEYS, time: str = "charttime") -> DataFrame:
-    """min / max / avg of several columns of one table per stay, named ``<column>_{min,max,avg}``.
+    """min / max / avg of several columns of one table per stay, over the rows inside the window."""
+    pairs = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), events.select(*keys, time, *columns), keys=keys,
+                          window=window, time=time)
+    return pairs.groupBy(*STAY_KEYS).agg(*column_stats(columns))
+
+
+def multi_window_column_stats(stays: DataFrame, events: DataFrame, columns: Sequence[str], *,
+                              windows: Mapping[str, Window], keys: Sequence[str] = ADMISSION_KEYS,
+                              time: str = "charttime") -> DataFrame:
+    """``windowed_column_stats`` for several windows in one scan; names are ``<window>_<column>_{min,max,avg}``."""
+    outer = (F.least(*[w[0] for w in windows.values()]), F.greatest(*[w[1] for w in windows.values()]))
+    pairs = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), events.select(*keys, time, *columns), keys=keys,
+                          window=outer, time=time)
+    aggregates = []
+    for name, (low, high) in windows.items():
+        aggregates += column_stats(columns, f"{name}_", F.col(time).between(low, high))
+    return pairs.groupBy(*STAY_KEYS).agg(*aggregates)
 
-    Without a window every stay is kept and tables keyed by admission or stay are aggregated whole.
+
+def attribute_stats(stays: DataFrame, table: DataFrame, columns: Sequence[str], *,
+                    keys: Sequence[str] = ADMISSION_KEYS) -> DataFrame:
+    """min / max / avg of attributes without a time per stay; every stay is kept.
+
+    The attribute is aggregated per key first, so a hot key meets its stays as a single row.
     """
-    log = events.select(*keys, *([time] if window is not None else []), *columns)
-    aggregates = []
-    for c in columns:
-        aggregates += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_avg")]
-    base = stays.select(*STAY_KEYS, "intime", "outtime")
-    if window is not None:
-        return interval_join(base, log, keys=keys, window=window, time=time).groupBy(*STAY_KEYS).agg(*aggregates)
-    # The attribute is aggregated per key first, so a hot key meets the stays as a single row.
-    return base.select(*STAY_KEYS).join(log.groupBy(*keys).agg(*aggregates), list(keys), "left").select(
+    per_key = table.groupBy(*keys).agg(*column_stats(columns))
+    return stays.select(*STAY_KEYS).join(per_key, list(keys), "left").select(
         *STAY_KEYS, *[f"{c}_{s}" for c in columns for s in ("min", "max", "avg")])
 
 
@@ -142,19 +166,21 @@ def combine_items(stats: DataFrame, *, avg_of: str = "min_value", keys: Sequence
 
 
 def spread_items(stats: DataFrame, features: Mapping[str, Sequence], *, item: str = "itemid", prefix: str = "",
-                 avg_of: str = "min_value", keys: Sequence[str] = STAY_KEYS) -> DataFrame:
+                 avg_of: str = "min_value", avg_of_feature: Mapping[str, str] | None = None,
+                 keys: Sequence[str] = STAY_KEYS) -> DataFrame:
     """Turn per-item statistics into one row per stay with ``<feature>_{min,max,avg}`` columns.
 
-    A feature with one item keeps that item's mean; one with several items is combined as in ``combine_items``.
-    The input already holds one row per stay and item, so this second pass is small however long the log was.
+    A feature with one item keeps that item's mean; one with several items is combined as in ``combine_items``
+    (``avg_of_feature`` overrides the averaged statistic by feature). The input already holds one row per stay and item,
+    so this second pass is small however long the log was.
     """
     aggregates = []
     for feature, ids in features.items():
         mine = F.col(item).isin(list(ids))
-        avg_source = f"{prefix}{'avg_value' if len(ids) == 1 else avg_of}"
+        averaged = "avg_value" if len(ids) == 1 else (avg_of_feature or {}).get(feature, avg_of)
         aggregates += [
             F.min(F.when(mine, F.col(f"{prefix}min_value"))).alias(f"{feature}_min"),
             F.max(F.when(mine, F.col(f"{prefix}max_value"))).alias(f"{feature}_max"),
-            F.avg(F.when(mine, F.col(avg_source))).alias(f"{feature}_avg"),
+            F.avg(F.when(mine, F.col(f"{prefix}{averaged}"))).alias(f"{feature}_avg"),
         ]
     return stats.groupBy(*keys).agg(*aggregates)
