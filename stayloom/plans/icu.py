@@ -1,6 +1,6 @@
 """The ICU warehouse study: every named view, and the wide row that joins them.
 
-``IcuStudy(tables)`` reads its inputs by the names of ``sources.clinical``. ``view(name)`` returns one view lazily;
+``IcuStudy(tables)`` reads its inputs by the names of ``sources.clinical``. ``view(name)`` returns one view (lazily, but for the cohort that ``wide`` writes);
 ``wide()`` builds the final row without going through the single views: all laboratory items of both windows come from one
 scan of the log, limited to cohort stays.
 """
@@ -33,6 +33,7 @@ from stayloom.operators.events import (
 )
 from stayloom.operators.wide import join_features, require_unique
 from stayloom.plans import fixed_values as V
+from stayloom.session import cut_lineage
 from stayloom.sources.tables import refresh_table
 
 BY_STAY = ("subject_id", "stay_id")
@@ -143,12 +144,12 @@ class IcuStudy:
         require_unique({name: (self.t[name], keys) for name, keys in UNIQUE_INPUTS.items()})
 
     def wide(self) -> DataFrame:
-        """One row per cohort stay with all features and labels.
+        """One row per cohort stay with all features and labels (runs the job that writes the cohort).
 
         The narrow joins come first, the wide lab features last, and parts sharing the three stay keys follow each other
-        so that the cohort is exchanged once for all of them.
+        so that the cohort is exchanged once for all of them. The cohort enters a dozen joins, so it is written first.
         """
-        cohort = self.cohort
+        cohort = cut_lineage(self.cohort, "cohort")
         window = {"day": horizon_window(), "stay": stay_window()}
         features = [i for ids in V.WIDE_LAB_FEATURES.values() for i in ids]
         labs = multi_window_stats(cohort, self.t["labevents"], windows=window,

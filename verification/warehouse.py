@@ -127,6 +127,7 @@ class DerivedTables(Mapping):
     def __init__(self, roles: Roles, definitions: Mapping[str, str]):
         self.roles = roles
         self.definitions = definitions
+        self._frames: dict[str, DataFrame] = {}
 
     def _source(self, name: str) -> DataFrame:
         r = self.roles
@@ -138,6 +139,11 @@ class DerivedTables(Mapping):
         return makers[name]() if name in makers else r.tables[name]
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._build(name)
+        return self._frames[name]
+
+    def _build(self, name: str) -> DataFrame:
         text = self.definitions[name]
         used = {n: self._source(n) for n in ("r_stays", "r_bedside", "r_age", "r_sepsis3", "r_comorb", "r_detail", "r_stage",
                                              "r_vent", "r_text", "r_soi_keyed", "events", "orders", "customer")
