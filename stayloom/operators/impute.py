@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.operators.moments import group_moments
-from stayloom.session import cut_lineage
+from stayloom.session import LoopState
 
 
 class ImputationError(ValueError):
@@ -120,9 +120,10 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], *, key: str, max_ite
     gaps = sorted((c for c in names if stats[f"n_{c}"] < rows), key=lambda c: rows - stats[f"n_{c}"])
     if not gaps:
         return df
-    state = cut_lineage(values.select(
-        key, *[F.coalesce(c, F.lit(means[c])).alias(c) for c in names], *[F.col(c).isNull().alias(f"_gap_{c}") for c in gaps]),
-        "impute")
+    rounds = LoopState("impute")
+    state = rounds.advance(values.select(
+        key, *[F.coalesce(c, F.lit(means[c])).alias(c) for c in names],
+        *[F.col(c).isNull().alias(f"_gap_{c}") for c in gaps]))
     moments = group_moments(state, names, shift=[means[c] for c in names])[0]
     weights = np.nan_to_num(np.abs(moments.correlation()))
     limit = tol * max(float(stats[f"x_{c}"]) for c in names)
@@ -138,7 +139,7 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], *, key: str, max_ite
             if current is state:
                 current = current.withColumns({f"_old_{g}": F.col(g) for g in gaps})
             current = current.withColumn(c, F.when(F.col(f"_gap_{c}"), predicted).otherwise(F.col(c)))
-        written = cut_lineage(current, "impute")
+        written = rounds.advance(current)
         change = F.lit(0.0)
         for c in gaps:
             change = change + F.abs(F.col(c) - F.col(f"_old_{c}"))

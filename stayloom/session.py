@@ -56,9 +56,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/stayloom-{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
     """A path in the scratch folder that no earlier stage has used."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -70,3 +79,25 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class LoopState:
+    """The state of an iterative operator: each round is written, then the round before it is removed."""
+
+    def __init__(self, label: str):
+        self.label = label
+        self._path: str | None = None
+
+    def advance(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path, previous = stage_path(spark, self.label), self._path
+        df.write.parquet(path)
+        self._path = path
+        if previous is not None:
+            _delete(spark, previous)
+        return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every stage this application has written; frames that still read them become invalid."""
+    _delete(spark, _application_folder(spark))

@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from stayloom.session import build_session  # noqa: E402
+from stayloom.session import build_session, clear_scratch  # noqa: E402
 
 SMALL = os.environ.get("STAYLOOM_TEST_TABLES", "/root/testdata/sf0.001")
 
@@ -18,6 +18,7 @@ def spark():
         "spark.driver.bindAddress": "127.0.0.1"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

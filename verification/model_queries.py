@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stayloom.operators import classify, evaluate, impute, match, prepare, select
 from stayloom.operators.neighbours import knn_classify
+from stayloom.plans import propensity, training
 from stayloom.session import cut_lineage
 from stayloom.sources.roles import Roles
 from verification.registry import query, r8, r8_all
@@ -208,3 +209,21 @@ def assemble_features(r: Roles) -> DataFrame:
 
     return classify.assemble_features(complete(r), COLUMNS, label="label", key="id").select(
         "id", "label", vector_to_array("features").alias("features"))
+
+
+@query("prepare_dataset")
+def prepare_dataset(r: Roles) -> DataFrame:
+    """Completeness, cohort, split, joint imputation and balancing; train rows (1) and verify rows (0) together."""
+    df = r.features().select("id", *COLUMNS, "label", F.lit(1).alias("sepsis"))
+    cfg = training.TrainingConfig(key="id", target="label", features=COLUMNS, extra=("name",), codes={})
+    train, verify = training.prepare_dataset(df, cfg)
+    return prepare.concat_flagged(train, verify)
+
+
+@query("matching_flow")
+def matching_flow(r: Roles) -> DataFrame:
+    """Treatment table to matched pairs in one go."""
+    df = r.features().withColumn("itemids", F.when(F.col("id") % 11 == 0, F.lit("other")))
+    cfg = propensity.MatchingConfig(key="id", ids=(), covariates=COVARIATES, dose="dose", completeness=0.8, codes={},
+                                    dose_above=0.5)
+    return propensity.match_treatment(propensity.prepare_treatment(df, cfg), cfg)
