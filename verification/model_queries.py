@@ -32,13 +32,13 @@ def split(df: DataFrame, seed: int = 1987) -> tuple[DataFrame, DataFrame]:
 
 @query("split_train", "select id, label from ranked where is_train", ranked=RANKED)
 def split_train(r: Roles) -> DataFrame:
-    return split(r.features())[0].select("id", "label")
+    return split(cut_lineage(r.features().select("id", "label")))[0]
 
 
 @query("split_anti", "select id, label from ranked where not is_train", ranked=RANKED)
 def split_anti(r: Roles) -> DataFrame:
     """The rows the sample left over: the complement of the same cut, no join."""
-    return split(r.features())[1].select("id", "label")
+    return split(cut_lineage(r.features().select("id", "label")))[1]
 
 
 @query("balance_undersample", """
@@ -47,7 +47,7 @@ def split_anti(r: Roles) -> DataFrame:
     where i <= (select least(count(*) filter (where coalesce(label > 0.5, false)),
                              count(*) filter (where not coalesce(label > 0.5, false))) from r_features)""")
 def balance_undersample(r: Roles) -> DataFrame:
-    return prepare.balance_undersample(r.features(), "label", key="id").select("id", "label")
+    return prepare.balance_undersample(cut_lineage(r.features().select("id", "label")), "label", key="id")
 
 
 @query("impute_mean_init", "select id, " + ", ".join(
