@@ -63,6 +63,16 @@ def diagnosis_slice(frame: DataFrame, diagnoses: DataFrame, prefixes: Sequence[s
     return frame.join(codes, list(ADMISSION_KEYS)).select(*frame.columns, "icd_code", "x_type")
 
 
+def diagnosis_slice_counts(frame: DataFrame, diagnoses: DataFrame, prefixes: Sequence[str], length: int = 3) -> DataFrame:
+    """Rows of ``diagnosis_slice`` by prefix, as products of counts per admission: the fan-out itself is never built."""
+    kind = prefix(F.col("icd_code"), length)
+    codes = diagnoses.filter(kind.isin(list(prefixes))).groupBy(*ADMISSION_KEYS, kind.alias("x_type")).agg(
+        F.count("*").alias("codes"))
+    stays = frame.groupBy(*ADMISSION_KEYS).agg(F.count("*").alias("stays"))
+    return stays.join(codes, list(ADMISSION_KEYS)).groupBy("x_type").agg(
+        F.sum(F.col("stays") * F.col("codes")).alias("count"))
+
+
 def specimen_slice(cohort: DataFrame, suspicion: DataFrame, specimens: Sequence[str]) -> DataFrame:
     """Septic stays with at least one infection record of the given specimens."""
     wanted = suspicion.filter(F.col("specimen").isin(list(specimens))).select(*STAY_KEYS)

@@ -1,11 +1,4 @@
-"""Time-windowed joins and aggregates of an event log against stays.
-
-All of them share one physical shape. The window of a stay is unrolled into calendar days and the join runs on the
-equality keys *plus the day*, with the exact bounds as a residual. A patient who owns a large part of the log is thereby
-spread over as many tasks as the log has days, no event is ever copied, and because the day is not a grouping key the
-aggregate above always combines inside the join tasks before anything is shuffled. A single hot day is left to AQE's skew
-join, which can split it for the same reason.
-"""
+"""Per-stay statistics of an event log: windowed, per item, and spread into feature columns."""
 
 from __future__ import annotations
 
@@ -15,16 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.functions.scalar import hours
+from stayloom.operators.windows import Window, interval_join, mean, windowed_aggregate
+
+__all__ = ["ADMISSION_KEYS", "STAY_KEYS", "Window", "attribute_stats", "combine_items", "event_stats", "horizon_window",
+           "interval_join", "keep_all_stays", "multi_window_column_stats", "multi_window_stats", "spread_items",
+           "stay_window", "windowed_column_stats"]
 
 STAY_KEYS = ("subject_id", "hadm_id", "stay_id")
 ADMISSION_KEYS = ("subject_id", "hadm_id")
 
-Window = tuple[Column, Column]
-
-
-def day_number(ts: Column) -> Column:
-    return F.unix_date(ts.cast("date"))
-
 
 def horizon_window(before: int = 6, after: int = 24) -> Window:
     """From ``before`` hours ahead of admission to ``after`` hours past it."""
@@ -36,32 +28,8 @@ def stay_window(before: int = 6) -> Window:
     return F.col("intime") - hours(before), F.col("outtime")
 
 
-def interval_join(stays: DataFrame, events: DataFrame, *, keys: Sequence[str], window: Window, time: str = "charttime",
-                  strict: bool = False) -> DataFrame:
-    """Every (stay, event) pair with equal keys and the event inside the stay's window.
-
-    Bounds are inclusive unless ``strict``. Apart from ``keys`` the two sides must not share column names.
-    """
-    low, high = window
-    spans = (
-        stays.withColumns({"_low": low, "_high": high})
-        .filter(F.col("_low") <= F.col("_high"))
-        .withColumn("_day", F.explode(F.sequence(day_number(F.col("_low")), day_number(F.col("_high")))))
-    )
-    dated = events.withColumn("_day", day_number(F.col(time)))
-    at = F.col(time)
-    inside = (at > F.col("_low")) & (at < F.col("_high")) if strict else at.between(F.col("_low"), F.col("_high"))
-    return spans.join(dated, [*keys, "_day"]).filter(inside).drop("_day", "_low", "_high")
-
-
-def value_stats(value: Column, prefix: str = "", only: Column | None = None) -> list[Column]:
-    """min / max / avg of a value, optionally over the rows where ``only`` holds."""
-    shown = value if only is None else F.when(only, value)
-    return [
-        F.min(shown).alias(f"{prefix}min_value"),
-        F.max(shown).alias(f"{prefix}max_value"),
-        F.avg(shown).alias(f"{prefix}avg_value"),
-    ]
+def _items(events: DataFrame, item: str, items: Sequence | None) -> DataFrame:
+    return events if items is None else events.filter(F.col(item).isin(list(items)))
 
 
 def event_stats(stays: DataFrame, events: DataFrame, *, window: Window, items: Sequence | None = None,
@@ -72,12 +40,11 @@ def event_stats(stays: DataFrame, events: DataFrame, *, window: Window, items: S
     ``items`` restricts the log before the join (the filter reaches the scan). ``tag`` adds the constant ``t_name``.
     With ``stay_id`` among the keys this is the bedside variant.
     """
-    log = events.select(*keys, item, time, value)
-    if items is not None:
-        log = log.filter(F.col(item).isin(list(items)))
-    pairs = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), log, keys=keys, window=window, time=time)
-    stats = pairs.groupBy(*STAY_KEYS, item).agg(*value_stats(F.col(value)))
-    return stats.withColumn("t_name", F.lit(tag)) if tag is not None else stats
+    stats = windowed_aggregate(stays, _items(events, item, items), rows=STAY_KEYS, keys=keys, windows={"w": window},
+                               values=[value], by=[item], time=time)
+    out = stats.select(*STAY_KEYS, item, F.col(f"w_{value}_min").alias("min_value"),
+                       F.col(f"w_{value}_max").alias("max_value"), mean(f"w_{value}").alias("avg_value"))
+    return out.withColumn("t_name", F.lit(tag)) if tag is not None else out
 
 
 def multi_window_stats(stays: DataFrame, events: DataFrame, *, windows: Mapping[str, Window], items: Sequence | None = None,
@@ -88,50 +55,41 @@ def multi_window_stats(stays: DataFrame, events: DataFrame, *, windows: Mapping[
     Columns are ``<window>_n`` (events seen) and ``<window>_{min,max,avg}_value``; a stay and item without an event in
     some window has 0 and NULLs there.
     """
-    lows = [w[0] for w in windows.values()]
-    highs = [w[1] for w in windows.values()]
-    outer = (F.least(*lows), F.greatest(*highs)) if len(windows) > 1 else (lows[0], highs[0])
-    log = events.select(*keys, item, time, value)
-    if items is not None:
-        log = log.filter(F.col(item).isin(list(items)))
-    pairs = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), log, keys=keys, window=outer, time=time)
-    aggregates: list[Column] = []
-    for name, (low, high) in windows.items():
-        inside = F.col(time).between(low, high)
-        aggregates.append(F.count_if(inside).alias(f"{name}_n"))
-        aggregates.extend(value_stats(F.col(value), f"{name}_", inside))
-    return pairs.groupBy(*STAY_KEYS, item).agg(*aggregates)
-
-
-def column_stats(columns: Sequence[str], prefix: str = "", only: Column | None = None) -> list[Column]:
-    """min / max / avg of several columns, named ``<prefix><column>_{min,max,avg}``."""
-    out = []
-    for c in columns:
-        shown = F.col(c) if only is None else F.when(only, F.col(c))
-        out += [F.min(shown).alias(f"{prefix}{c}_min"), F.max(shown).alias(f"{prefix}{c}_max"),
-                F.avg(shown).alias(f"{prefix}{c}_avg")]
-    return out
+    stats = windowed_aggregate(stays, _items(events, item, items), rows=STAY_KEYS, keys=keys, windows=windows,
+                               values=[value], by=[item], time=time)
+    columns = []
+    for w in windows:
+        columns += [F.col(f"{w}_rows").alias(f"{w}_n"), F.col(f"{w}_{value}_min").alias(f"{w}_min_value"),
+                    F.col(f"{w}_{value}_max").alias(f"{w}_max_value"), mean(f"{w}_{value}").alias(f"{w}_avg_value")]
+    return stats.select(*STAY_KEYS, item, *columns)
 
 
-def windowed_column_stats(stays: DataFrame, events: DataFrame, columns: Sequence[str], *, window: Window,
-                          keys: Sequence[str] = ADMISSION_KEYS, time: str = "charttime") -> DataFrame:
-    """min / max / avg of several columns of one table per stay, over the rows inside the window."""
-    pairs = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), events.select(*keys, time, *columns), keys=keys,
-                          window=window, time=time)
-    return pairs.groupBy(*STAY_KEYS).agg(*column_stats(columns))
+def column_stats(columns: Sequence[str]) -> list[Column]:
+    """min / max / avg of several columns, named ``<column>_{min,max,avg}``."""
+    return [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
 
 
 def multi_window_column_stats(stays: DataFrame, events: DataFrame, columns: Sequence[str], *,
                               windows: Mapping[str, Window], keys: Sequence[str] = ADMISSION_KEYS,
                               time: str = "charttime") -> DataFrame:
-    """``windowed_column_stats`` for several windows in one scan; names are ``<window>_<column>_{min,max,avg}``."""
-    outer = (F.least(*[w[0] for w in windows.values()]), F.greatest(*[w[1] for w in windows.values()]))
-    pairs = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), events.select(*keys, time, *columns), keys=keys,
-                          window=outer, time=time)
-    aggregates = []
-    for name, (low, high) in windows.items():
-        aggregates += column_stats(columns, f"{name}_", F.col(time).between(low, high))
-    return pairs.groupBy(*STAY_KEYS).agg(*aggregates)
+    """min / max / avg of several columns of one table per stay in each window, in one scan.
+
+    Names are ``<window>_<column>_{min,max,avg}``, with ``<window>_rows`` for the rows seen.
+    """
+    stats = windowed_aggregate(stays, events, rows=STAY_KEYS, keys=keys, windows=windows, values=columns, time=time)
+    out = []
+    for w in windows:
+        out.append(F.col(f"{w}_rows"))
+        for c in columns:
+            out += [F.col(f"{w}_{c}_min"), F.col(f"{w}_{c}_max"), mean(f"{w}_{c}").alias(f"{w}_{c}_avg")]
+    return stats.select(*STAY_KEYS, *out)
+
+
+def windowed_column_stats(stays: DataFrame, events: DataFrame, columns: Sequence[str], *, window: Window,
+                          keys: Sequence[str] = ADMISSION_KEYS, time: str = "charttime") -> DataFrame:
+    """min / max / avg of several columns of one table per stay, over the rows inside the window."""
+    stats = multi_window_column_stats(stays, events, columns, windows={"w": window}, keys=keys, time=time)
+    return stats.select(*STAY_KEYS, *[F.col(f"w_{c}_{s}").alias(f"{c}_{s}") for c in columns for s in ("min", "max", "avg")])
 
 
 def attribute_stats(stays: DataFrame, table: DataFrame, columns: Sequence[str], *,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stayloom.operators.moments import group_moments
@@ -139,12 +139,14 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], *, key: str, max_ite
             if current is state:
                 current = current.withColumns({f"_old_{g}": F.col(g) for g in gaps})
             current = current.withColumn(c, F.when(F.col(f"_gap_{c}"), predicted).otherwise(F.col(c)))
-        written = rounds.advance(current)
         change = F.lit(0.0)
         for c in gaps:
             change = change + F.abs(F.col(c) - F.col(f"_old_{c}"))
-        moved = written.agg(F.max(change)).first()[0]
-        state = written.drop(*[f"_old_{c}" for c in gaps])
+        # The largest change of a row is observed while the round is written.
+        seen = Observation()
+        measured = current.observe(seen, F.max(change).alias("moved"))
+        state = rounds.advance(measured.drop(*[f"_old_{c}" for c in gaps]))
+        moved = seen.get["moved"]
         if moved < limit:
             break
     filled = state.select(key, *[F.col(c).alias(f"_fill_{c}") for c in gaps])

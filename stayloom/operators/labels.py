@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.functions.scalar import days_between, larger_of, or_false, prefix, threshold_score
-from stayloom.operators.events import ADMISSION_KEYS, STAY_KEYS, interval_join
+from stayloom.operators.events import ADMISSION_KEYS, STAY_KEYS
+from stayloom.operators.windows import open_window, windowed_aggregate
 
 # The cuts of the coagulation and organ scores.
 LOW_COUNT_CUTS = ((100, 2), (150, 1))
@@ -93,9 +94,9 @@ def evidence_collection(suspicion: DataFrame, ventilation: DataFrame, ratios: Da
     suspected = suspicion.select(*STAY_KEYS).distinct()
     ventilated = ventilation.filter(F.col("ventilation_status").isin(list(statuses))).select(
         "stay_id", F.lit(True).alias("ventilated")).distinct()
-    low = ratios.filter(F.col(value) < below).select(*ADMISSION_KEYS, "charttime", value)
-    impaired = interval_join(stays.select(*STAY_KEYS, "intime", "outtime"), low, keys=ADMISSION_KEYS,
-                             window=window).groupBy(*ADMISSION_KEYS).agg(F.max(value).alias("impaired"))
+    low = ratios.filter(F.col(value) < below)
+    impaired = windowed_aggregate(stays, low, rows=ADMISSION_KEYS, keys=ADMISSION_KEYS, windows={"w": window},
+                                  values=[value]).select(*ADMISSION_KEYS, F.col(f"w_{value}_max").alias("impaired"))
     evidence = suspected.join(ventilated, "stay_id", "left").join(impaired, list(ADMISSION_KEYS), "left")
     return evidence.filter(F.col("ventilated").isNotNull() | F.col("impaired").isNotNull()).groupBy(
         *ADMISSION_KEYS).agg(F.max(F.coalesce("stay_id", F.lit(0))).alias("stay_id"))
@@ -128,20 +129,22 @@ def mortality_label(detail: DataFrame, days: int = 28) -> DataFrame:
 def site_flags(suspicion: DataFrame, stays: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
     """Infection-site flags per (admission, stay id or NULL) from infections suspected strictly inside a stay.
 
-    A record without stay id meets every stay of its admission; one with a stay id keeps it in the join key. Both parts
-    join on the day as well, so records of one hot admission are not compared with all of its stays.
+    A record with a stay id keeps it in the join key; one without meets every stay of its admission. The flags are summed
+    like any other value of a windowed log, so neither a hot admission nor many overlapping stays are compared all with all.
     """
-    window = (F.col("intime"), F.col("outtime"))
-    infections = suspicion.select(*STAY_KEYS, "specimen", "suspected_infection_time")
-    spans = stays.select(*STAY_KEYS, "intime", "outtime")
-    exact = interval_join(spans, infections.filter(F.col("stay_id").isNotNull()), keys=STAY_KEYS, window=window,
-                          time="suspected_infection_time", strict=True)
-    wildcard = interval_join(spans.drop("stay_id"), infections.filter(F.col("stay_id").isNull()), keys=ADMISSION_KEYS,
-                             window=window, time="suspected_infection_time", strict=True)
-    columns = [*STAY_KEYS, "specimen"]
-    pairs = exact.select(*columns).unionByName(wildcard.select(*columns))
-    flags = [F.bool_or(F.col("specimen").isin(list(names))).alias(category) for category, names in categories.items()]
-    return pairs.groupBy(*STAY_KEYS).agg(F.count("*").alias("count"), *flags)
+    marks = {f"f{i}": F.col("specimen").isin(list(names)).cast("int") for i, names in enumerate(categories.values())}
+    window = {"w": open_window((F.col("intime"), F.col("outtime")))}
+    infections = suspicion.select(*STAY_KEYS, "suspected_infection_time", *[c.alias(n) for n, c in marks.items()])
+
+    def counted(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return windowed_aggregate(stays, records, rows=keys, keys=keys, windows=window, values=list(marks),
+                                  time="suspected_infection_time")
+
+    exact = counted(infections.filter(F.col("stay_id").isNotNull()), STAY_KEYS)
+    wildcard = counted(infections.filter(F.col("stay_id").isNull()), ADMISSION_KEYS)
+    found = exact.unionByName(wildcard.withColumn("stay_id", F.lit(None).cast(suspicion.schema["stay_id"].dataType)))
+    flags = [(F.col(f"w_{n}_max") == 1).alias(category) for n, category in zip(marks, categories)]
+    return found.select(*STAY_KEYS, F.col("w_rows").alias("count"), *flags)
 
 
 def flag_totals(flags: DataFrame, names: Sequence[str], suffix: str = "_t") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.functions.scalar import clean_numeric, hours, parse_timestamp
-from stayloom.operators.events import interval_join, value_stats
+from stayloom.operators.windows import mean, windowed_aggregate
 
 
 def join_features(cohort: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -48,14 +48,14 @@ def analyte_features(stays: DataFrame, samples: DataFrame, *, analytes: Sequence
     log = samples.filter(F.col("analyte").isin(list(analytes))).select(
         patient_key, "analyte", parse_timestamp(F.col("sample_time")).alias("charttime"),
         clean_numeric(F.col("result"), junk).alias("res"))
-    base = stays.select(*row_keys, F.col(start).alias("intime"), F.col(end).alias("outtime"))
-    pairs = interval_join(base, log, keys=[patient_key], window=(F.col("intime"), F.col("outtime")))
-    in_time = ~F.col("analyte").isin(list(capped)) | (F.col("charttime") <= F.col("intime") + hours(cap_hours))
-    stats = (pairs.filter(in_time) if capped else pairs).groupBy(*row_keys, "analyte").agg(*value_stats(F.col("res")))
+    # Both windows of a stay are answered by one pass over the log.
+    begin, finish = F.col(start), F.col(end)
+    windows = {"whole": (begin, finish), "early": (begin, F.least(finish, begin + hours(cap_hours)))}
+    stats = windowed_aggregate(stays, log, rows=row_keys, keys=[patient_key], windows=windows, values=["res"], by=["analyte"])
     columns = []
     for a in analytes:
-        mine = F.col("analyte") == a
-        for stat in ("max", "min", "avg"):
-            columns.append(F.max(F.when(mine, F.col(f"{stat}_value"))).alias(f"{a}_{stat}"))
+        w = "early" if a in capped else "whole"
+        shown = {"max": F.col(f"{w}_res_max"), "min": F.col(f"{w}_res_min"), "avg": mean(f"{w}_res")}
+        columns += [F.max(F.when(F.col("analyte") == a, c)).alias(f"{a}_{s}") for s, c in shown.items()]
     spread = stats.groupBy(*row_keys).agg(*columns)
     return stays.select(*row_keys).join(spread, list(row_keys), "left")

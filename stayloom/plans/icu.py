@@ -23,12 +23,10 @@ from stayloom.operators.events import (
     combine_items,
     event_stats,
     horizon_window,
-    interval_join,
     multi_window_column_stats,
     multi_window_stats,
     spread_items,
     stay_window,
-    value_stats,
     windowed_column_stats,
 )
 from stayloom.operators.wide import join_features, require_unique
@@ -88,10 +86,9 @@ class IcuStudy:
                            keys=STAY_KEYS, tag=tag)
 
     def _measured(self, table: str, column: str, tag: str, keys=ADMISSION_KEYS, time: str = "charttime") -> DataFrame:
-        log = self.t[table].select(*keys, time, column)
-        base = self.stays.select(*STAY_KEYS, "intime", "outtime")
-        pairs = interval_join(base, log, keys=keys, window=horizon_window(), time=time)
-        return pairs.groupBy(*STAY_KEYS).agg(*value_stats(F.col(column))).withColumn("e_type", F.lit(tag))
+        stats = windowed_column_stats(self.stays, self.t[table], [column], window=horizon_window(), keys=keys, time=time)
+        return stats.select(*STAY_KEYS, *[F.col(f"{column}_{s}").alias(f"{s}_value") for s in ("min", "max", "avg")],
+                            F.lit(tag).alias("e_type"))
 
     def _attribute(self, table: str, column: str, keys) -> DataFrame:
         stats = attribute_stats(self.stays, self.t[table], [column], keys=keys)
@@ -231,9 +228,9 @@ def _vital_signs(s: IcuStudy) -> DataFrame:
 
 
 def _severity(s: IcuStudy) -> DataFrame:
-    pairs = interval_join(s.stays.select(*STAY_KEYS, "intime", "outtime"), s.t["sapsii"].select(
-        *STAY_KEYS, "starttime", "sapsii"), keys=STAY_KEYS, window=horizon_window(), time="starttime")
-    return pairs.groupBy(*STAY_KEYS).agg(F.avg("sapsii").alias("sapsii")).withColumn("e_type", F.lit("sapsii"))
+    stats = windowed_column_stats(s.stays, s.t["sapsii"], ["sapsii"], window=horizon_window(), keys=STAY_KEYS,
+                                  time="starttime")
+    return stats.select(*STAY_KEYS, F.col("sapsii_avg").alias("sapsii"), F.lit("sapsii").alias("e_type"))
 
 
 def _clotting_ratio(s: IcuStudy, window) -> DataFrame:
@@ -282,8 +279,7 @@ VIEWS: dict[str, Callable[[IcuStudy], DataFrame]] = {
     "self_sepsis_ali": lambda s: L.membership_label(s.cohort, s.lung_collection, s.t["charlson"]),
     "self_sepsis_20230822": lambda s: s.wide(),
     "self_icd_code_5x": lambda s: C.diagnosis_slice(s.wide(), s.t["diagnoses_icd"], V.KIDNEY_CODES),
-    "self_icd_code_5x_counts": lambda s: C.diagnosis_slice(
-        s.cohort, s.t["diagnoses_icd"], V.KIDNEY_CODES).groupBy("x_type").count(),
+    "self_icd_code_5x_counts": lambda s: C.diagnosis_slice_counts(s.cohort, s.t["diagnoses_icd"], V.KIDNEY_CODES),
     "respiratory_specimen_stays": lambda s: L.membership_label(
         C.specimen_slice(s.cohort, s.t["suspicion_of_infection"], V.RESPIRATORY_SPECIMENS), s.lung_collection,
         s.t["charlson"], keep=True),

@@ -17,6 +17,7 @@ from stayloom.operators.events import (
     windowed_column_stats,
 )
 from stayloom.operators.labels import site_flags
+from stayloom.operators.windows import open_window, windowed_aggregate
 
 T0 = datetime(2024, 3, 10, 12, 0, 0)
 STAYS = "subject_id long, hadm_id long, stay_id long, intime timestamp_ntz, outtime timestamp_ntz"
@@ -152,3 +153,39 @@ def test_hot_day_is_split_by_adaptive_execution(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(rows) == 501
     assert "isSkew=true" in plan or "skew=true" in plan or "skewed" in plan
+
+
+@pytest.mark.parametrize("items", [["itemid"], []])
+def test_crowded_days_equal_the_direct_way(spark, items):
+    """Nested blocks and pairs give the same statistics, with several windows and NULL values."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for s in range(120):
+        begin = T0 + timedelta(microseconds=rng.randrange(3 * 86_400_000_000))
+        subject = 1 if s < 90 else 2 + s % 3
+        rows.append((subject, subject * 10, s, begin, begin + timedelta(microseconds=rng.randrange(1, 2 * 86_400_000_000))))
+    base = stays(spark, *rows)
+    log = []
+    for i in range(600):
+        subject = 1 if i % 3 else 2 + i % 4
+        at = T0 + timedelta(microseconds=rng.randrange(5 * 86_400_000_000)) if i % 5 else rows[i % 120][3 + i % 2]
+        log.append((subject, subject * 10, i % 3, at, None if i % 17 == 0 else float(rng.randrange(1000))))
+    events = spark.createDataFrame(log, LABS)
+    windows = {"day": horizon_window(), "stay": stay_window(0)}
+    options = dict(rows=STAY_KEYS, keys=ADMISSION_KEYS, windows=windows, values=["valuenum"], by=items)
+    direct = windowed_aggregate(base, events, crowded=10**9, **options)
+    nested = windowed_aggregate(base, events, crowded=0, **options).select(*direct.columns)
+    mixed = windowed_aggregate(base, events, crowded=40, **options).select(*direct.columns)
+    want = sorted(map(str, direct.collect()))
+    assert len(want) > 100
+    assert sorted(map(str, nested.collect())) == want
+    assert sorted(map(str, mixed.collect())) == want
+
+
+def test_open_window_excludes_its_bounds(spark):
+    got = windowed_aggregate(stays(spark), labs(spark, timedelta(0), US, 96 * H - US, 96 * H), rows=STAY_KEYS,
+                             keys=ADMISSION_KEYS, windows={"w": open_window((F.col("intime"), F.col("outtime")))},
+                             values=["valuenum"], crowded=0).first()
+    assert (got["w_rows"], got["w_valuenum_sum"]) == (2, 3.0)

@@ -16,6 +16,7 @@ from stayloom.operators.events import (
     stay_window,
     windowed_column_stats,
 )
+from stayloom.operators.windows import windowed_aggregate
 from stayloom.sources.roles import Roles
 from verification.registry import query, r8_all
 
@@ -91,8 +92,9 @@ def interval_left_join(r: Roles) -> DataFrame:
     group by all""")
 def windowed_filtered_max(r: Roles) -> DataFrame:
     low = r.labs().filter(F.col("valuenum") < 200)
-    return interval_join(r.stays(), low, keys=("subject_id", "hadm_id"), window=stay_window(6)).groupBy(
-        "subject_id", "hadm_id").agg(F.max("valuenum").alias("ok_value"))
+    return windowed_aggregate(r.stays(), low, rows=("subject_id", "hadm_id"), keys=("subject_id", "hadm_id"),
+                              windows={"w": stay_window(6)}, values=["valuenum"]).select(
+        "subject_id", "hadm_id", F.col("w_valuenum_max").alias("ok_value"))
 
 
 @query("two_level_agg", f"""
