@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.operators.moments import group_moments
@@ -142,11 +142,10 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], *, key: str, max_ite
         change = F.lit(0.0)
         for c in gaps:
             change = change + F.abs(F.col(c) - F.col(f"_old_{c}"))
-        # The largest change of a row is observed while the round is written.
-        seen = Observation()
-        measured = current.observe(seen, F.max(change).alias("moved"))
-        state = rounds.advance(measured.drop(*[f"_old_{c}" for c in gaps]))
-        moved = seen.get["moved"]
+        # The change is written beside the values: reading one column back is cheaper than comparing two rounds.
+        state = rounds.advance(current.withColumn("_change", change).drop(*[f"_old_{c}" for c in gaps]))
+        moved = state.agg(F.max("_change")).first()[0]
+        state = state.drop("_change")
         if moved < limit:
             break
     filled = state.select(key, *[F.col(c).alias(f"_fill_{c}") for c in gaps])

@@ -46,7 +46,7 @@ def holes():
 def test_imputation_changes_only_missing_cells(spark, holes, seed):
     x, holed, gaps = holes
     df = frame(spark, holed, "abcde").withColumn("other", F.lit("kept"))
-    out = impute.iterative_impute(df, list("abcde"), key="id", max_iter=20, tol=0.01, seed=seed)
+    out = impute.iterative_impute(df, list("abcde"), key="id", max_iter=6, tol=0.01, seed=seed)
     assert out.columns == df.columns
     got = np.array([[r[c] for c in "abcde"] for r in out.orderBy("id").collect()], dtype=float)
     assert got.shape == x.shape and not np.isnan(got).any()
@@ -61,7 +61,7 @@ def test_imputation_changes_only_missing_cells(spark, holes, seed):
 def test_imputation_is_deterministic_and_seeded(spark, holes):
     df = frame(spark, holes[1], "abcde")
     def run(seed, parts):
-        out = impute.iterative_impute(df.repartition(parts), list("abcde"), key="id", max_iter=3, tol=1e-6, seed=seed, nearest=1)
+        out = impute.iterative_impute(df.repartition(parts), list("abcde"), key="id", max_iter=2, tol=1e-6, seed=seed, nearest=1)
         return np.array([[r[c] for c in "abcde"] for r in out.orderBy("id").collect()])
     first = run(1, 3)
     np.testing.assert_allclose(first, run(1, 6), rtol=1e-8)
