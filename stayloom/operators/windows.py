@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayloom.session import cut_lineage
+
 Window = tuple[Column, Column]
 
 CROWDED = 64
@@ -84,6 +86,7 @@ def windowed_aggregate(stays: DataFrame, events: DataFrame, *, rows: Sequence[st
     groups = [*rows, *by]
     if full.isEmpty():
         return _direct(spans, log, cell, groups, names, values)
+    full = cut_lineage(full, "crowded")
     few = _direct(spans.join(full, cell, "left_anti"), log, cell, groups, names, values)
     many = _nested(spans.join(full, cell, "left_semi"), log.join(full, cell, "left_semi"), cell, groups, by, names, values)
     return few.unionByName(many).groupBy(*groups).agg(*_merged(names, values))

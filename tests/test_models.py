@@ -235,3 +235,20 @@ def test_assembly_refuses_missing_values(spark):
     df = spark.createDataFrame([(1, 1.0, None)], "id long, a double, b double")
     with pytest.raises(Exception):
         classify.assemble_features(df, ["a", "b"]).collect()
+
+
+def test_boosting_equals_its_definition(spark):
+    """One stump on one column: leaf values follow the penalised formula; a large penalty leaves the mean."""
+    from stayloom.operators.boosting import fit_boosted_trees, penalised_value
+
+    df = classify.assemble_features(spark.createDataFrame(
+        [(i, float(i >= 60), float(i >= 60)) for i in range(100)], "id long, a double, y double"), ["a"], label="y", key="id")
+    model = fit_boosted_trees(df, "y", trees=2, depth=1, step=0.5, absolute=10, quadratic=1)
+    got = {r["y"]: r["s"] for r in model.score(df, "s").select("y", "s").distinct().collect()}
+    low, high = 0.4, 0.4
+    for _ in range(2):
+        low += 0.5 * penalised_value(60 * (0 - low), 60, 10, 1)
+        high += 0.5 * penalised_value(40 * (1 - high), 40, 10, 1)
+    assert got[0.0] == pytest.approx(low) and got[1.0] == pytest.approx(high)
+    flat = fit_boosted_trees(df, "y", trees=1, depth=1, absolute=1000)
+    assert {round(r["s"], 12) for r in flat.score(df, "s").collect()} == {0.4}

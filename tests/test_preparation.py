@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stayloom.operators import prepare as P
 from stayloom.operators import ranks
-from stayloom.sources.tables import StageStore, refresh_table
+from stayloom.sources.tables import StageStore, refresh_table, write_clustered
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -82,3 +82,16 @@ def test_stage_and_refresh(spark, tmp_path):
     second = refresh_table(first.union(spark.range(3)), "t_refresh", str(tmp_path / "v2"))
     assert second.count() == 6 == spark.table("t_refresh").count()
     spark.sql("drop table t_refresh")
+
+
+def test_clustered_log_spreads_a_hot_item(spark, tmp_path):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("itemid"),
+                                    F.col("id").alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the data is tiny
+    try:
+        write_clustered(df.repartition(6), str(tmp_path / "log"), ["itemid", "at"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 30_000
+    assert back.filter("itemid = 7").select(F.input_file_name()).distinct().count() > 1
