@@ -187,6 +187,11 @@ class IcuStudy:
         ]
         return join_features(cohort, [*by_admission, *by_stay, *by_all]).select(*WIDE_COLUMNS)
 
+    @cached_property
+    def wide_table(self) -> DataFrame:
+        """The wide row written once, for the slices that start from it."""
+        return cut_lineage(self.wide(), "wide")
+
     def _top(self, table: str, column: str) -> DataFrame:
         return self.t[table].groupBy(*BY_STAY).agg(F.max(column).alias(f"{column}_max"))
 
@@ -241,7 +246,7 @@ def _clotting_ratio(s: IcuStudy, window) -> DataFrame:
 
 def _site_slice(s: IcuStudy) -> DataFrame:
     sites = L.site_flags(s.t["suspicion_of_infection"], s.cohort, V.SITE_SPECIMENS).drop("count")
-    return C.flag_slice(s.wide().filter("sepsis"), sites, ~F.col("pulmonary"))
+    return C.flag_slice(s.wide_table.filter("sepsis"), sites, ~F.col("pulmonary"))
 
 
 VIEWS: dict[str, Callable[[IcuStudy], DataFrame]] = {
@@ -278,7 +283,7 @@ VIEWS: dict[str, Callable[[IcuStudy], DataFrame]] = {
     "self_sepsis_ali_collection": lambda s: s.lung_collection,
     "self_sepsis_ali": lambda s: L.membership_label(s.cohort, s.lung_collection, s.t["charlson"]),
     "self_sepsis_20230822": lambda s: s.wide(),
-    "self_icd_code_5x": lambda s: C.diagnosis_slice(s.wide(), s.t["diagnoses_icd"], V.KIDNEY_CODES),
+    "self_icd_code_5x": lambda s: C.diagnosis_slice(s.wide_table, s.t["diagnoses_icd"], V.KIDNEY_CODES),
     "self_icd_code_5x_counts": lambda s: C.diagnosis_slice_counts(s.cohort, s.t["diagnoses_icd"], V.KIDNEY_CODES),
     "respiratory_specimen_stays": lambda s: L.membership_label(
         C.specimen_slice(s.cohort, s.t["suspicion_of_infection"], V.RESPIRATORY_SPECIMENS), s.lung_collection,
