@@ -84,7 +84,7 @@ def windowed_aggregate(stays: DataFrame, events: DataFrame, *, rows: Sequence[st
     cell = [*keys, "_day"]
     full = spans.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell)
     groups = [*rows, *by]
-    if full.isEmpty():
+    if not _any_crowded(full):
         return _direct(spans, log, cell, groups, names, values)
     full = cut_lineage(full, "crowded")
     few = _direct(spans.join(full, cell, "left_anti"), log, cell, groups, names, values)
@@ -92,6 +92,24 @@ def windowed_aggregate(stays: DataFrame, events: DataFrame, *, rows: Sequence[st
     return few.unionByName(many).groupBy(*groups).agg(*_merged(names, values))
 
 
+_known_uncrowded: set[tuple[str, int]] = set()
+
+
+def _any_crowded(full: DataFrame) -> bool:
+    """Whether the frame of crowded days has a row.
+
+    A negative answer is remembered for the same stays, keys and windows in this application, so a study that aggregates many
+    tables over one set of stays asks once. Both ways are exact: a stale answer could cost time but no correctness.
+    """
+    question = (full.sparkSession.sparkContext.applicationId, full.semanticHash())
+    if question in _known_uncrowded:
+        return False
+    if full.isEmpty():
+        _known_uncrowded.add(question)
+        return False
+    return True
+
+
 def _direct(spans: DataFrame, log: DataFrame, cell: Sequence[str], groups: Sequence[str], names: Sequence[str],
             values: Sequence[str]) -> DataFrame:
     at = F.col("_at")
