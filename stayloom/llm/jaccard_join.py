@@ -30,7 +30,7 @@ PARTS = 0.4
 SMALL_BAND, WIDE = 6, 40
 SLOTS = 1 << 20
 SKETCH = 8
-NO_ID = -(1 << 63)
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,16 +58,24 @@ def _sum_rows(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and 128 bits that are equal for equal sets."""
+    """doc_id, n_shingles, 128 bits that are equal for equal sets, and the parity sketch s0.. of the set."""
+    bits = 64 * SKETCH
 
     def work(batches):
         for part in K.slices(batches, "text"):
             value, offsets = shingle_sets(part.column("text"), shingle)
+            n = part.num_rows
+            owner = np.repeat(np.arange(n), np.diff(offsets))
+            spot = (K.mix(value ^ np.uint64(K.SECOND_BASE)) % np.uint64(bits)).astype(np.int64)
+            parity = (np.bincount(owner * bits + spot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+            sketch = np.packbits(parity, axis=1).view(np.int64).reshape(n, SKETCH)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id"), "n_shingles": np.diff(offsets),
-                "f1": K.signed(_sum_rows(K.mix(value), offsets)), "f2": K.signed(_sum_rows(K.mix(value ^ np.uint64(K.BYTE_BASE)), offsets))})
+                "f1": K.signed(_sum_rows(K.mix(value), offsets)), "f2": K.signed(_sum_rows(K.mix(value ^ np.uint64(K.BYTE_BASE)), offsets)),
+                **{f"s{i}": np.ascontiguousarray(sketch[:, i]) for i in range(SKETCH)}})
 
-    return K.map_arrow(docs, work, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint")
+    schema = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
+    return K.map_arrow(docs, work, schema)
 
 
 def frequent_slots(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
@@ -128,10 +136,10 @@ def part_keys(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, perc
 
 
 def meeting_rows(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(key, doc_id, pivot): documents that show a part another one shows too.
+    """(key, doc_id): documents that show a part another one shows too.
 
-    Rows are dealt by ranges of (key, doc_id), so a very common key spreads over tasks; the pivot is the first document of the
-    key in its task. The first and last key of a task are kept whole, since the neighbouring task may hold more of them.
+    Rows are dealt by ranges of (key, doc_id), so a very common key spreads over tasks and none is gathered. A row goes where
+    its neighbours in order have other keys; the first and last key of a task stay, since the next task may hold more of them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
@@ -142,73 +150,70 @@ def meeting_rows(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: i
             yield pa.RecordBatch.from_pydict({"key": K.signed(key), "doc_id": part.column("doc_id").to_numpy()[text]})
 
     def meet(batches):
-        last, pivot, kept, begun = None, None, None, False
+        held = None  # the last row of the batch before, and whether it is known to stay
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-            if kept is not None:  # the last row of the batch before, held back until its successor is known
-                key, doc = np.concatenate([[kept[0]], key]), np.concatenate([[kept[1]], doc])
-            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            group = np.cumsum(new)
-            firsts = doc[new] if new[0] else np.concatenate([[pivot], doc[new]])
-            pivots = firsts[group - (1 if new[0] else 0)]
-            multi = ~new
-            multi[:-1] |= ~new[1:]
-            if not begun:
-                multi[key == key[0]] = True
-                begun = True
-            kept, last, pivot = (key[-1], doc[-1], pivots[-1], bool(multi[-1])), key[-1] if not new[-1] else None, pivots[-1]
-            if new[-1]:
-                last, pivot = None, None
-            take = np.flatnonzero(multi[:-1])
-            yield pa.RecordBatch.from_pydict({"key": key[take], "doc_id": doc[take], "pivot": pivots[take]})
-        if kept is not None:
-            yield pa.RecordBatch.from_pydict({"key": [kept[0]], "doc_id": [kept[1]], "pivot": [kept[2]]})
-
-    rows = K.map_arrow(docs, show, "key bigint, doc_id bigint").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return K.map_arrow(rows, meet, "key bigint, doc_id bigint, pivot bigint")
-
-
-def _sketched(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, sorted shingle hashes and the parity sketch of the documents in ``wanted``."""
-    names = [f"s{i}" for i in range(SKETCH)]
+            stay = np.zeros(len(key) + 1, bool)
+            if held is None:
+                held = (key[:0], doc[:0], False)
+                stay = stay[1:]
+                stay[0] = True
+            else:
+                stay[0] = held[2]
+            key, doc = np.concatenate([held[0], key]), np.concatenate([held[1], doc])
+            same = key[1:] == key[:-1]
+            stay[1:] |= same
+            stay[:-1] |= same
+            held = (key[-1:], doc[-1:], bool(stay[-1]))
+            take = np.flatnonzero(stay[:-1])
+            yield pa.RecordBatch.from_pydict({"key": key[take], "doc_id": doc[take]})
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"key": held[0], "doc_id": held[1]})
+
+    kind = "key bigint, doc_id bigint"
+    rows = K.map_arrow(docs, show, kind).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    return K.map_arrow(rows, meet, kind)
+
+
+def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose ids are in ``wanted``; a list of at most BROADCAST_IDS ids is broadcast, a longer one is shuffled."""
+    wanted = cut_lineage(wanted.distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "doc_id", "left_semi")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, set size and sorted shingle hashes."""
 
     def work(batches):
         for part in K.slices(batches, "text"):
             value, offsets = shingle_sets(part.column("text"), shingle)
-            n, bits = part.num_rows, 64 * SKETCH
-            owner = np.repeat(np.arange(n), np.diff(offsets))
-            spot = (K.mix(value ^ np.uint64(K.SECOND_BASE)) % np.uint64(bits)).astype(np.int64)
-            parity = (np.bincount(owner * bits + spot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-            sketch = np.packbits(parity, axis=1).view(np.int64).reshape(n, SKETCH)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id"), "n": np.diff(offsets).astype(np.int32),
-                "grams": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(K.signed(value))),
-                **{c: np.ascontiguousarray(sketch[:, i]) for i, c in enumerate(names)}})
+                "grams": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(K.signed(value)))})
 
-    schema = "doc_id bigint, n int, grams array<bigint>, " + ", ".join(f"{c} bigint" for c in names)
-    return K.map_arrow(docs.join(wanted, "doc_id", "left_semi"), work, schema)
+    return K.map_arrow(docs, work, "doc_id bigint, n int, grams array<bigint>")
 
 
 def _may_link(a: str, b: str, percent: int):
     """The bound of the sketches: Hamming distance <= (100 - t) (a + b) / (100 + t), and sizes within the ratio t."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     distance = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (distance * (100 + percent) <= (100 - percent) * (na + nb))
 
 
-def verified(pairs: DataFrame, sketched: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The pairs (a, b) whose shingle sets really have the similarity, compared in full; ``bounded``: the sketches allow them."""
-    if not bounded:
-        light = sketched.drop("grams")
-        pairs = pairs.alias("p").join(light.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(
-            light.alias("y"), F.col("p.b") == F.col("y.doc_id")).where(_may_link("x", "y", percent)).select("p.a", "p.b")
-    sets = sketched.select("doc_id", "n", "grams")
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets really have the similarity, compared in full."""
+    pairs = cut_lineage(pairs, "pairs")
+    sets = _sets(only(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), shingle)
     both = pairs.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(sets.alias("y"), F.col("p.b") == F.col("y.doc_id"))
     common = F.size(F.array_intersect("x.grams", "y.grams"))
-    return both.select("p.a", "p.b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), common.alias("common")).where(
-        100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    found = both.select("p.a", "p.b", (F.col("x.n") + F.col("y.n")).alias("total"), common.alias("common")).where(
+        100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
+    return cut_lineage(found.select("a", "b"), "links")
 
 
 def jaccard_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -222,24 +227,25 @@ def jaccard_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     an id has a NULL component and links nothing. Repeated rows stay repeated. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = fingerprints(docs, shingle)
+    prints = cut_lineage(fingerprints(docs, shingle), "prints")
     same = ["f1", "f2", "n_shingles"]
     reps = prints.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    chosen = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    meetings = cut_lineage(meeting_rows(chosen, frequent_slots(docs, shingle), shingle, percent), "meetings")
-    sketched = cut_lineage(_sketched(docs, meetings.select("doc_id").distinct(), shingle), "sketches")
-    stars = meetings.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(verified(stars, sketched, percent), "links")
-    at = meetings.join(components(links), F.col("doc_id") == F.col("node"), "left").select(
+    sketches = prints.where("doc_id is not null").drop("f1", "f2")
+    meetings = meeting_rows(docs.where("doc_id is not null"), frequent_slots(docs, shingle), shingle, percent)
+    meetings = cut_lineage(meetings.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "meetings")
+    pivots = meetings.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("pivot < last")
+    at = meetings.join(pivots.select("key", "pivot", "n"), "key")
+    stars = at.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.doc_id")).join(sketches.alias("y"), F.col("b") == F.col("y.doc_id"))
+    links = verified(stars.where(_may_link("x", "y", percent)).select("a", "b"), docs, shingle, percent)
+    at = at.where("n > 2").join(components(links), F.col("doc_id") == F.col("node"), "left").select(
         "key", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
-    mixed = at.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min("pivot").alias("p"),
-        F.max("pivot").alias("q")).where("low <> high and (n > 2 or p <> q)").select("key")
-    rows = at.join(mixed, "key").join(sketched.drop("grams"), "doc_id")
+    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rows = at.where("doc_id <> pivot").join(mixed, "key").join(sketches, "doc_id")
     rest = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                                & (F.col("x.doc_id") != F.col("y.pivot")) & (F.col("y.doc_id") != F.col("x.pivot")) & _may_link("x", "y", percent))
+                                & _may_link("x", "y", percent))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = cut_lineage(verified(rest, sketched, percent, bounded=True), "links")
+    more = verified(rest, docs, shingle, percent)
     owned = prints.join(reps, same, "left").select("doc_id", "n_shingles", "rep")
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id", "low")
     joined = owned.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
