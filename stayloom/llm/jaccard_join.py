@@ -58,7 +58,11 @@ def _sum_rows(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, 128 bits that are equal for equal sets, and the parity sketch s0.. of the set."""
+    """doc_id, n_shingles, 128 bits that are equal for equal sets, and parity sketches of the set.
+
+    ``s0``.. hold 512 parity bits. Sets of more than 512 shingles also have ``wide``, with a bit per shingle of their size band;
+    bit places are low bits of one hash, so a longer sketch folds onto a shorter one.
+    """
     bits = 64 * SKETCH
 
     def work(batches):
@@ -66,15 +70,21 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             value, offsets = shingle_sets(part.column("text"), shingle)
             n = part.num_rows
             owner = np.repeat(np.arange(n), np.diff(offsets))
-            spot = (K.mix(value ^ np.uint64(K.SECOND_BASE)) % np.uint64(bits)).astype(np.int64)
+            place = K.mix(value ^ np.uint64(K.SECOND_BASE))
+            spot = (place & np.uint64(bits - 1)).astype(np.int64)
             parity = (np.bincount(owner * bits + spot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
             sketch = np.packbits(parity, axis=1).view(np.int64).reshape(n, SKETCH)
+            wide: list[np.ndarray | None] = [None] * n
+            for i in np.flatnonzero(np.diff(offsets) > bits).tolist():
+                span = 1 << (int(offsets[i + 1] - offsets[i]) - 1).bit_length()
+                flips = np.bincount((place[offsets[i]:offsets[i + 1]] & np.uint64(span - 1)).astype(np.int64), minlength=span) & 1
+                wide[i] = np.packbits(flips.astype(np.uint8)).view(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), "n_shingles": np.diff(offsets),
+                "doc_id": part.column("doc_id"), "n_shingles": np.diff(offsets), "wide": pa.array(wide, pa.list_(pa.int64())),
                 "f1": K.signed(_sum_rows(K.mix(value), offsets)), "f2": K.signed(_sum_rows(K.mix(value ^ np.uint64(K.BYTE_BASE)), offsets)),
                 **{f"s{i}": np.ascontiguousarray(sketch[:, i]) for i in range(SKETCH)}})
 
-    schema = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
+    schema = "doc_id bigint, n_shingles bigint, wide array<bigint>, f1 bigint, f2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
     return K.map_arrow(docs, work, schema)
 
 
@@ -205,6 +215,28 @@ def _may_link(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (distance * (100 + percent) <= (100 - percent) * (na + nb))
 
 
+def _wide_distance(x: str, y: str):
+    """Hamming distance of two wide sketches, the longer folded onto the shorter; NULL where a set has none."""
+
+    def fold(a, b):
+        half = F.size(b)
+        halves = F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) > half, halves).otherwise(a)
+
+    a, b = F.col(x), F.col(y)
+    bits = F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
+def sketch_allows(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose wide sketches, where both have one, keep the bound too."""
+    wide = sketches.where("wide is not null").select("doc_id", "n_shingles", "wide")
+    both = pairs.join(wide.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("wide").alias("wa")), "a", "left").join(
+        wide.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("wide").alias("wb")), "b", "left")
+    near = _wide_distance("wa", "wb") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return both.where(F.col("wa").isNull() | F.col("wb").isNull() | near).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets really have the similarity, compared in full."""
     pairs = cut_lineage(pairs, "pairs")
@@ -231,21 +263,22 @@ def jaccard_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     same = ["f1", "f2", "n_shingles"]
     reps = prints.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     sketches = prints.where("doc_id is not null").drop("f1", "f2")
+    light = sketches.drop("wide")
     meetings = meeting_rows(docs.where("doc_id is not null"), frequent_slots(docs, shingle), shingle, percent)
     meetings = cut_lineage(meetings.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "meetings")
     pivots = meetings.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("pivot < last")
     at = meetings.join(pivots.select("key", "pivot", "n"), "key")
     stars = at.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.doc_id")).join(sketches.alias("y"), F.col("b") == F.col("y.doc_id"))
-    links = verified(stars.where(_may_link("x", "y", percent)).select("a", "b"), docs, shingle, percent)
+    stars = stars.join(light.alias("x"), F.col("a") == F.col("x.doc_id")).join(light.alias("y"), F.col("b") == F.col("y.doc_id"))
+    links = verified(sketch_allows(stars.where(_may_link("x", "y", percent)).select("a", "b"), sketches, percent), docs, shingle, percent)
     at = at.where("n > 2").join(components(links), F.col("doc_id") == F.col("node"), "left").select(
         "key", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rows = at.where("doc_id <> pivot").join(mixed, "key").join(sketches, "doc_id")
+    rows = at.where("doc_id <> pivot").join(mixed, "key").join(light, "doc_id")
     rest = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
                                 & _may_link("x", "y", percent))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = verified(rest, docs, shingle, percent)
+    more = verified(sketch_allows(rest, sketches, percent), docs, shingle, percent)
     owned = prints.join(reps, same, "left").select("doc_id", "n_shingles", "rep")
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id", "low")
     joined = owned.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
