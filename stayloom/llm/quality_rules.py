@@ -18,19 +18,8 @@ RESULT = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n
 
 
 def unit_features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each unit and each pair of neighbouring units.
-
-    A unit is a run of letters and digits, or a run of other printing characters; so a mark glued to a word counts as itself.
-    """
-    raw, offsets = K.text_bytes(column)
-    raw = K.UPPER[raw]
-    letters, marks = K.ALNUM[raw], ~K.ALNUM[raw] & ~K.SPACES[raw]
-    a, b = K.runs(letters, offsets), K.runs(marks, offsets)
-    starts, ends = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], ends[order]
-    owner = K.owners(starts, offsets)
-    value = K.segment_hash(raw, starts, ends)
+    """(text, bucket) of each unit and each pair of neighbouring units."""
+    owner, value, _ = K.units(column)
     at, pair = K.grams(value, owner, 2)
     return np.concatenate([owner, owner[at]]), (np.concatenate([value, pair]) % np.uint64(buckets)).astype(np.int64)
 

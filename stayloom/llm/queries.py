@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayloom.llm import bpe, decontaminate, jaccard_join, quality_rules, substring_dedup
-from stayloom.session import tune
+from stayloom.llm import (
+    bpe, decontaminate, host_reputation, jaccard_join, language_id, line_dedup, quality_model, quality_rules, substring_dedup, warc,
+)
+from stayloom.session import stage_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,11 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+@query("op1_random_indexing_quality")
+def op1(spark, folder):
+    return quality_model.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op2_bpe_speculate_verify")
 def op2(spark, folder):
     return bpe_digests(bpe.round_trip(table(spark, folder, "documents"), TOKENIZER))
@@ -65,6 +72,29 @@ def op5(spark, folder):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_string_kernel_language")
+def op6(spark, folder):
+    return language_id.language_id(table(spark, folder, "documents"))
+
+
+@query("op7_line_chunk_dedup")
+def op7(spark, folder):
+    kept = line_dedup.line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op8_host_reputation")
+def op8(spark, folder):
+    return host_reputation.url_filter(table(spark, folder, "pages")).withColumn("bad_bound", F.round("bad_bound", 8))
+
+
+@query("op9_warc_segments")
+def op9(spark, folder):
+    path = stage_path(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), path)
+    return warc.page_summary(warc.read_warc(spark, path))
+
+
 @query("op10_parity_sketch_jaccard")
 def op10(spark, folder):
     return jaccard_join.jaccard_groups(table(spark, folder, "documents"))

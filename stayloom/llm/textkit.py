@@ -187,3 +187,17 @@ def signed(values: np.ndarray) -> np.ndarray:
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` under one name, so that every operator reads alike."""
     return df.mapInArrow(fn, schema)
+
+
+def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, whether it is a mark) of each unit, A-Z lower-cased.
+
+    A unit is a run of letters and digits, or a run of other printing characters; so a mark glued to a word counts as itself.
+    """
+    raw, offsets = text_bytes(column)
+    raw = UPPER[raw]
+    letters, marks = runs(ALNUM[raw], offsets), runs(~ALNUM[raw] & ~SPACES[raw], offsets)
+    starts, ends = np.concatenate([letters[0], marks[0]]), np.concatenate([letters[1], marks[1]])
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
+    return owners(starts, offsets), segment_hash(raw, starts, ends), order >= len(letters[0])
