@@ -1,7 +1,6 @@
 """WARC archives written and read through Spark's text files, with segmented records put together again.
 
-A record ends with two line breaks and the next begins with its version line, so that pair separates records when a file is
-read in splits. Payloads travel in chunked framing, and a chunk border is set inside every version line that a payload holds; so
+Every record begins with its version line, which separates records when a file is read line by line. Payloads travel in chunked framing, and a chunk border is set inside every version line that a payload holds; so
 the separator never occurs inside a record. Long blocks are cut into a first record and continuations.
 """
 
@@ -20,12 +19,12 @@ from stayloom.llm import textkit as K
 
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
-SEPARATOR = RECORD_END + VERSION + "\r\n"
+SEPARATOR = VERSION + "\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES = 8192, 4096, 1000
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of UUIDs
 PIECES = ("origin string, row_tag string, number int, total bigint, kind string, page_id bigint, digest string, refers string, "
-          "whole boolean, body binary")
+          "whole boolean, segmented boolean, body binary")
 RECORDS = "record_id string, page_id bigint, record_type string, digest string, refers string, intact boolean, payload binary"
 
 
@@ -142,24 +141,22 @@ def write_warc(pages: DataFrame, path: str, *, revisit_bytes: int = REVISIT_BYTE
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     records = K.map_arrow(known.select(*names).unionByName(small.select(*names)), write, "value string")
-    records.write.option("lineSep", RECORD_END).text(path)
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def parse_record(text: str) -> dict:
     """Headers and block of one record as read between separators."""
-    for lead in (SEPARATOR, VERSION + "\r\n"):
-        text = text.removeprefix(lead)
     head, _, block = text.partition(RECORD_END)
     fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in head.split("\r\n"))}
     body = block.encode()
     length = int(fields.get("content-length", "-1"))
-    whole = len(body) == length or body[length:] == RECORD_END.encode()  # the last record of a file keeps its end
+    whole = body[length:] == RECORD_END.encode()
     digest = fields.get("warc-payload-digest", "")
     return {"origin": fields.get("warc-segment-origin-id", fields.get("warc-record-id")), "row_tag": fields.get("x-row"),
             "number": int(fields.get("warc-segment-number", "1")), "total": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None,
             "kind": fields.get("warc-type"), "page_id": int(fields["x-page-id"]) if "x-page-id" in fields else None,
             "digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None, "refers": fields.get("warc-refers-to"),
-            "whole": whole, "body": body[:max(length, 0)]}
+            "whole": whole, "segmented": "warc-segment-number" in fields, "body": body[:max(length, 0)]}
 
 
 def assemble(pieces: list[dict]) -> dict:
@@ -181,17 +178,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives under ``path``: ids, type, digest, what it refers to, whether it is intact, payload.
 
     Segments are grouped by the identifier of their origin, ordered by number, and joined only if none is missing and the
-    total length is the stated one; a broken record has a NULL payload and ``intact`` false. An empty folder gives no rows.
+    total length is the stated one; records in one piece need no grouping. A broken record has a NULL payload and ``intact`` false. An empty folder gives no rows.
     """
 
     def parse(batches):
         for part in K.slices(batches, "value"):
             rows = [parse_record(t) for t in part.column("value").to_pylist() if t.strip()]
-            columns = {n: [r[n] for r in rows] for n in ("origin", "row_tag", "number", "total", "kind", "page_id", "digest", "refers", "whole", "body")}
+            columns = {n: [r[n] for r in rows] for n in ("origin", "row_tag", "number", "total", "kind", "page_id", "digest", "refers", "whole", "segmented", "body")}
             yield pa.RecordBatch.from_pydict({**columns, "number": pa.array(columns["number"], pa.int32()), "total": pa.array(columns["total"], pa.int64()),
                                               "page_id": pa.array(columns["page_id"], pa.int64()), "body": pa.array(columns["body"], pa.binary()),
                                               **{n: pa.array(columns[n], pa.string()) for n in ("origin", "row_tag", "kind", "digest", "refers")},
-                                              "whole": pa.array(columns["whole"], pa.bool_())})
+                                              **{n: pa.array(columns[n], pa.bool_()) for n in ("whole", "segmented")}})
 
     def join(batches):
         for batch in batches:
@@ -204,8 +201,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.schema("value string").option("lineSep", SEPARATOR).text(path)
     pieces = K.map_arrow(lines, parse, PIECES)
     fields = ["number", "total", "kind", "page_id", "digest", "refers", "whole", "body", "origin"]
-    grouped = pieces.groupBy("origin", "row_tag").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
-    return K.map_arrow(grouped.select("pieces"), join, RECORDS)
+    grouped = pieces.where("segmented").groupBy("origin", "row_tag").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
+    single = pieces.where("not segmented").select(F.array(F.struct(*fields)).alias("pieces"))
+    return K.map_arrow(grouped.select("pieces").unionByName(single), join, RECORDS)
 
 
 def page_summary(records: DataFrame) -> DataFrame:
