@@ -146,11 +146,7 @@ def part_keys(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, perc
 
 
 def meeting_rows(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(key, doc_id): documents that show a part another one shows too.
-
-    Rows are dealt by ranges of (key, doc_id), so a very common key spreads over tasks and none is gathered. A row goes where
-    its neighbours in order have other keys; the first and last key of a task stay, since the next task may hold more of them.
-    """
+    """(key, doc_id): documents that show a part another one shows too."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def show(batches):
@@ -159,32 +155,7 @@ def meeting_rows(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: i
             text, key = part_keys(*shingle_sets(part.column("text"), shingle), flags, percent)
             yield pa.RecordBatch.from_pydict({"key": K.signed(key), "doc_id": part.column("doc_id").to_numpy()[text]})
 
-    def meet(batches):
-        held = None  # the last row of the batch before, and whether it is known to stay
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-            stay = np.zeros(len(key) + 1, bool)
-            if held is None:
-                held = (key[:0], doc[:0], False)
-                stay = stay[1:]
-                stay[0] = True
-            else:
-                stay[0] = held[2]
-            key, doc = np.concatenate([held[0], key]), np.concatenate([held[1], doc])
-            same = key[1:] == key[:-1]
-            stay[1:] |= same
-            stay[:-1] |= same
-            held = (key[-1:], doc[-1:], bool(stay[-1]))
-            take = np.flatnonzero(stay[:-1])
-            yield pa.RecordBatch.from_pydict({"key": key[take], "doc_id": doc[take]})
-        if held is not None:
-            yield pa.RecordBatch.from_pydict({"key": held[0], "doc_id": held[1]})
-
-    kind = "key bigint, doc_id bigint"
-    rows = K.map_arrow(docs, show, kind).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return K.map_arrow(rows, meet, kind)
+    return K.with_partner(K.map_arrow(docs, show, "key bigint, doc_id bigint"), "key", "doc_id")
 
 
 def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:

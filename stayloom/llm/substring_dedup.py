@@ -1,8 +1,8 @@
 """Repeated passages by a compacted De Bruijn graph of word windows.
 
 An edge of the graph is a window of 35 words, from the node of its first 34 words to that of its last 34. Consecutive windows
-of a document that have the same smallest 12-word hash form a path without listing its edges; equal paths collapse in
-one aggregation. A path that occurs twice repeats with all its edges. Only where different paths share an anchor can the graph
+of a document that have the same smallest 12-word hash, their anchor, form a path without listing its edges. Paths whose anchor
+is nowhere else cannot repeat and go first; equal paths then collapse in one aggregation. A path that occurs twice repeats with all its edges. Only where different paths share an anchor can the graph
 branch inside a path, so only those are opened into single edges, counted again. Joins on source coordinates bring the
 repeated stretches back to their documents.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.llm import textkit as K
+from stayloom.session import cut_lineage
 
 WINDOW = 35
 ANCHOR = 12
@@ -99,7 +100,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Windows repeated only inside one document may be missing here; ``substring_dedup`` finds those document by document.
     """
     key = ["anchor", "h1", "h2"]
-    paths = _paths(docs, window, anchor)
+    paths = cut_lineage(K.with_partner(_paths(docs, window, anchor), "anchor", "doc_id", "first"), "paths")
     kinds = paths.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("shown"))
     branching = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
     known = kinds.join(branching, "anchor").select(*key, "n", "shown", (F.col("kinds") > 1).alias("branches"))

@@ -201,3 +201,31 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
     return owners(starts, offsets), segment_hash(raw, starts, ends), order >= len(letters[0])
+
+
+def with_partner(df: DataFrame, key: str, *rest: str) -> DataFrame:
+    """The rows whose bigint ``key`` another row has too, and at most a few rows more at the edges of tasks.
+
+    Rows are dealt by ranges of (key, rest), so a very common key spreads over tasks and none is gathered. A row goes where its
+    neighbours in order have other keys; the first and last key of a task stay, since the next task may hold more of them.
+    """
+
+    def meet(batches):
+        held = None  # the last row of the batch before, and whether it is known to stay
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = True if held is None else held[1]
+            joined = pa.Table.from_batches([batch] if held is None else [held[0], batch]).combine_chunks().to_batches()[0]
+            value = joined.column(key).to_numpy()
+            stay = np.zeros(len(value), bool)
+            stay[0] = known
+            same = value[1:] == value[:-1]
+            stay[1:] |= same
+            stay[:-1] |= same
+            held = (joined.slice(len(value) - 1), bool(stay[-1]))
+            yield joined.slice(0, len(value) - 1).filter(pa.array(stay[:-1]))
+        if held is not None:
+            yield held[0]
+
+    return df.repartitionByRange(key, *rest).sortWithinPartitions(key, *rest).mapInArrow(meet, df.schema)
