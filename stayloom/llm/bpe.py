@@ -19,7 +19,7 @@ from stayloom.llm import textkit as K
 
 LONG_PIECE = 512
 REMEMBERED = 200_000
-ENCODE_SLICE = 2 << 20
+ENCODE_SLICE = 1 << 20
 MARK = "\0special "  # no piece of the pattern holds both a control character and letters
 # The split pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -85,10 +85,15 @@ class Codec:
                     edges.append((prefixes[token[:k - 1]], token[k - 1], len(accept)))
                     accept.append(-1)
             accept[prefixes[token]] = i
-        self.next = np.zeros((len(accept), 256), np.int32)
         e = np.array(edges, np.int64)
-        self.next[e[:, 0], e[:, 1]] = e[:, 2]
-        self.accept = np.array(accept, np.int32)
+        inner = np.zeros(len(accept), bool)
+        inner[e[:, 0]] = True
+        number = np.argsort(np.argsort(~inner, kind="stable"))  # nodes with children come first, only they have a row
+        self.inner = int(inner.sum())
+        self.next = np.zeros((self.inner + 1, 256), np.int32)
+        self.next[number[e[:, 0]], e[:, 1]] = number[e[:, 2]]
+        self.accept = np.empty(len(accept), np.int32)
+        self.accept[number] = accept
 
     def _spines(self, merges) -> None:
         """Per token the pieces on its right and left edge, from itself down to one byte, and the rank that ends each."""
@@ -161,7 +166,7 @@ class Codec:
         who, what = [], []
         while len(at):
             inside = at < stop
-            step = np.where(inside, self.next[node, raw[np.minimum(at, len(raw) - 1)]], 0)
+            step = np.where(inside, self.next[np.minimum(node, self.inner), raw[np.minimum(at, len(raw) - 1)]], 0)
             go = step > 0
             at, node = at + go, np.where(go, step, 0)
             token = self.accept[node]

@@ -195,30 +195,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     ``block_words`` words is searched block by block, each pass adding to what the passes before it found.
     """
     docs = docs.drop("found")
-    names = docs.columns
-    result = docs.select(*[f"`{c}`" for c in names], F.lit(None).cast(f"struct<{FOUND_TYPE}>").alias("found"))
+    result = docs.select(K.pack(docs), F.lit(None).cast(f"struct<{FOUND_TYPE}>").alias("found"))
     for number, block in enumerate(blocks(benchmark, window, block_words)):
         if number:
             result = cut_lineage(result, "decontaminate")
         result = _search(result, block, coverage_limit)
-    return result
+    return result.select("doc.*", "found")
 
 
 FOUND_TYPE = ", ".join(f"{n}:{t}" for n, t in (part.split(" ", 1) for part in FOUND.split(", ")))
 
 
 def _search(frame: DataFrame, block: Block, coverage_limit: float) -> DataFrame:
-    """One pass: adds the hits of a block to ``found``. The struct travels as it is, so other columns are never touched."""
+    """One pass over (doc, found): adds the hits of a block to ``found``."""
     shared = frame.sparkSession.sparkContext.broadcast(block)
-    kind = T.StructType([f for f in frame.schema if f.name != "found"])
     struct = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("cleaned", pa.string())])
-    schema = T.StructType([*kind.fields, T.StructField("found", T._parse_datatype_string(f"struct<{FOUND_TYPE}>"))])
+    schema = T.StructType([frame.schema["doc"], *T.StructType.fromDDL(f"found struct<{FOUND_TYPE}>").fields])
 
     def work(batches):
         names = shared.value.automaton.names
-        for part in K.slices(batches, "text"):
-            text = part.column("text")
+        for part in K.slices(batches, "doc.text"):
+            text = K.field(part, "doc.text")
             words = tokens(text)
             hit, items = shared.value.search(words)
             firsts = np.concatenate([[0], np.cumsum(words.counts)])
@@ -246,8 +244,6 @@ def _search(frame: DataFrame, block: Block, coverage_limit: float) -> DataFrame:
                 kept.append(raw[at:])
                 cleaned = "" if n_hit > coverage_limit * count else b"\n".join(kept).decode()
                 out.append({"n_words": count, "n_hit": n_hit, "items": sorted(listed), "spans": spans, "cleaned": cleaned})
-            columns = [part.column(k) for k, n in enumerate(part.schema.names) if n != "found"]
-            fields = [part.schema.field(k) for k, n in enumerate(part.schema.names) if n != "found"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, struct)], schema=pa.schema([*fields, pa.field("found", struct)]))
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(out, struct)], schema=pa.schema([part.schema.field("doc"), ("found", struct)]))
 
     return frame.mapInArrow(work, schema)

@@ -80,11 +80,11 @@ def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
     shared = groups.where("first < last and low = high").select("h1", "h2", "first")
     marked = _chunk_rows(texts, False, min_lines).join(shared, ["h1", "h2"]).where("doc_id > first")
     marked = marked.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select(key, F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = docs.select(key, K.pack(docs))
 
     def cut(batches):
-        for part in K.slices(batches, "text"):
-            text = part.column("text")
+        for part in K.slices(batches, "doc.text"):
+            text = K.field(part, "doc.text")
             c = Chunks(text)
             gone = part.column("gone").fill_null([])
             owner = np.repeat(np.arange(part.num_rows), np.diff(gone.offsets.to_numpy()))
@@ -113,6 +113,6 @@ def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
                 [part.column("doc"), pa.array(c.lines), pa.array(removed), pa.array(cleaned, pa.string())],
                 schema=pa.schema([part.schema.field("doc"), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("cleaned", pa.string())]))
 
-    joined = rows.join(marked, "doc_id", "left").select("text", "doc", "gone")
+    joined = rows.join(marked, "doc_id", "left").select("doc", "gone")
     schema = T.StructType([joined.schema["doc"], *T.StructType.fromDDL("n_lines bigint, n_removed bigint, cleaned string").fields])
     return joined.mapInArrow(cut, schema)

@@ -179,9 +179,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     vectors, model = fit(docs, labels, rows)
 
     def choose(batches):
-        for part in K.slices(batches, "text"):
-            x = pooled(part.column("text").cast(pa.string()), vectors)
+        for part in K.slices(batches, "doc.text"):
+            x = pooled(K.field(part, "doc.text"), vectors)
             value = np.full(len(x), model) if isinstance(model, float) else model.score(x)
             yield part.filter(pa.array(value >= CUT))
 
-    return docs.mapInArrow(choose, docs.schema)
+    packed = docs.select(K.pack(docs))
+    return packed.mapInArrow(choose, packed.schema).select("doc.*")

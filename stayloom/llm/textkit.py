@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BYTE_BASE, GRAM_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F
 _KEPT_POWERS = 1 << 22
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -39,12 +39,23 @@ def bucket_of(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def pack(docs: DataFrame) -> Column:
+    """The whole row as struct ``doc``, so that no other column's name can clash with or break what is built around it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with ``parent.child`` a field of a struct column."""
+    parent, _, child = name.partition(".")
+    return batch.column(parent).field(child) if child else batch.column(parent)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(field(batch, column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes.tolist()):
             if i > start and held + size > limit:
@@ -77,7 +88,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(base)
     if have is not None and len(have[0]) >= n:
         return have
-    size = max(n, 2 * SLICE_BYTES)
+    size = ((n >> 18) + 1) << 18
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(size, b, np.uint64)
