@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.operators.moments import group_moments
+from stayloom.operators.prepare import present
 from stayloom.session import LoopState
 
 
@@ -23,7 +24,7 @@ class ImputationError(ValueError):
 
 def cell_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows and filled cells per column, one row per column, from one aggregate."""
-    one = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns])
+    one = df.agg(F.count("*").alias("_rows"), *[F.count_if(present(df, c)).alias(c) for c in columns])
     return one.unpivot(["_rows"], list(columns), "column", "filled").select(
         "column", F.col("_rows").alias("rows"), "filled")
 
@@ -38,11 +39,11 @@ def check_imputed(before: DataFrame, after: DataFrame, columns: Sequence[str]) -
 
 def mean_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill the missing cells of each column with its mean (runs one aggregate for all columns)."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    means = df.agg(*[F.avg(F.when(present(df, c), F.col(c))).alias(c) for c in columns]).first()
     empty = [c for c in columns if means[c] is None]
     if empty:
         raise ImputationError(f"no observed value in {empty}")
-    return df.withColumns({c: F.coalesce(c, F.lit(float(means[c]))) for c in columns})
+    return df.withColumns({c: F.coalesce(F.when(present(df, c), F.col(c)), F.lit(float(means[c]))) for c in columns})
 
 
 def bayesian_ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: float, *, rounds: int = 300,

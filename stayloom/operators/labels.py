@@ -97,7 +97,10 @@ def evidence_collection(suspicion: DataFrame, ventilation: DataFrame, ratios: Da
     low = ratios.filter(F.col(value) < below)
     impaired = windowed_aggregate(stays, low, rows=ADMISSION_KEYS, keys=ADMISSION_KEYS, windows={"w": window},
                                   values=[value]).select(*ADMISSION_KEYS, F.col(f"w_{value}_max").alias("impaired"))
-    evidence = suspected.join(ventilated, "stay_id", "left").join(impaired, list(ADMISSION_KEYS), "left")
+    # A third of the suspicions know no stay: they can't be ventilated by stay, so they skip the join instead of meeting in one task.
+    staying = suspected.where(F.col("stay_id").isNotNull()).join(ventilated, "stay_id", "left").select(*suspected.columns, "ventilated")
+    homeless = suspected.where(F.col("stay_id").isNull()).withColumn("ventilated", F.lit(None).cast("boolean"))
+    evidence = staying.unionByName(homeless).join(impaired, list(ADMISSION_KEYS), "left")
     return evidence.filter(F.col("ventilated").isNotNull() | F.col("impaired").isNotNull()).groupBy(
         *ADMISSION_KEYS).agg(F.max(F.coalesce("stay_id", F.lit(0))).alias("stay_id"))
 

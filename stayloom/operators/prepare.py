@@ -27,21 +27,27 @@ def add_missing_columns(df: DataFrame, names: Sequence[str], value: str = "") ->
     return df.withColumns(absent) if absent else df
 
 
-def filled_share(columns: Sequence[str]) -> Column:
+def present(df: DataFrame, column: str) -> Column:
+    """Whether a cell holds a value; NaN is missing, like NULL."""
+    known = F.col(column).isNotNull()
+    return known & ~F.isnan(column) if df.schema[column].dataType.typeName() in ("double", "float") else known
+
+
+def filled_share(df: DataFrame, columns: Sequence[str]) -> Column:
     """Share of the columns that hold a value in this row."""
-    filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])
+    filled = reduce(lambda a, b: a + b, [present(df, c).cast("int") for c in columns])
     return filled / F.lit(float(len(columns)))
 
 
 def filter_complete_rows(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
     """Rows whose share of filled columns reaches the threshold."""
-    return df.filter(filled_share(columns) >= threshold)
+    return df.filter(filled_share(df, columns) >= threshold)
 
 
 def filter_target_cohort(df: DataFrame, target: str, *, sepsis: str = "sepsis", lung: str = "sepsis_ali") -> DataFrame:
     """Rows eligible for predicting ``target``: it must be known; other targets than sepsis need a septic stay, and
     28-day mortality also a lung injury."""
-    known = F.col(target).isNotNull()
+    known = present(df, target)
     if target == "sepsis":
         return df.filter(known)
     if target == "death28":
@@ -67,9 +73,9 @@ def split_exact(df: DataFrame, *, key: str, fraction: float, seed: int) -> tuple
 
 
 def balance_undersample(df: DataFrame, target: str, *, key: str, seed: int = 0) -> DataFrame:
-    """Sample the larger of the two classes (target above 0.5 or not; NULL counts as not) down to the smaller."""
+    """Sample the larger of the two classes (target above 0.5 or not; NULL and NaN count as not) down to the smaller."""
     order = sampling_order(key, seed)
-    positive = or_false(F.col(target) > 0.5)
+    positive = or_false(present(df, target) & (F.col(target) > 0.5))
     sizes = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).first()
     if sizes["p"] == sizes["n"]:
         return df

@@ -108,7 +108,6 @@ def external_wide(patients: DataFrame, analytes: Mapping[str, DataFrame], *, fix
 def external_wide_from(patients: DataFrame, samples: DataFrame, *, fix_chloride: bool = True) -> DataFrame:
     """``external_wide`` over one tagged log of samples."""
     admissions = latest_admissions(with_comorbidity_index(patients))
-    # Tied latest admissions share the patient key; the analyte rows are per key, as the patient's samples are.
-    features = analyte_table(admissions.groupBy(V.PATIENT_KEY).agg(
-        F.min("in_time").alias("in_time"), F.max("out_time").alias("out_time")), samples)
+    # Tied latest admissions share the patient key: a sample counts once per admission it lies in, and a key has one row.
+    features = analyte_table(admissions, samples).distinct()
     return admissions.join(features, V.PATIENT_KEY, "left").select(*external_columns(fix_chloride))

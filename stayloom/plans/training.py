@@ -56,10 +56,13 @@ def eligible_rows(df: DataFrame, cfg: TrainingConfig) -> DataFrame:
     return filter_target_cohort(filter_complete_rows(coded, cfg.features, cfg.completeness), cfg.target)
 
 
-def align(df: DataFrame, cfg: TrainingConfig) -> DataFrame:
-    """Extra columns, features and target in one order; absent ones are added as empty text."""
+def align(df: DataFrame, cfg: TrainingConfig, other: DataFrame | None = None) -> DataFrame:
+    """Extra columns, features and target in one order. A column that only ``other`` has is NULL of its type, one that
+    neither has is empty text."""
     names = list(dict.fromkeys([cfg.key, *cfg.extra, *cfg.features, cfg.target]))
-    return add_missing_columns(df, names).select(*names)
+    there = {} if other is None else {f.name: f.dataType for f in other.schema}
+    typed = {c: F.lit(None).cast(there[c]) for c in names if c not in df.columns and c in there}
+    return add_missing_columns(df.withColumns(typed) if typed else df, names).select(*names)
 
 
 def clean_data(internal: DataFrame, cfg: TrainingConfig = TrainingConfig(), external: DataFrame | None = None) -> DataFrame:
@@ -70,7 +73,7 @@ def clean_data(internal: DataFrame, cfg: TrainingConfig = TrainingConfig(), exte
         train, verify = split_exact(cut_lineage(rows, "eligible"), key=cfg.key, fraction=cfg.fraction, seed=cfg.seed)
     else:
         train, verify = rows, eligible_rows(external, cfg)
-    return concat_flagged(align(train, cfg), align(verify, cfg))
+    return concat_flagged(align(train, cfg, verify), align(verify, cfg, train))
 
 
 def prepare_dataset(internal: DataFrame, cfg: TrainingConfig = TrainingConfig(), external: DataFrame | None = None,

@@ -65,7 +65,7 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -94,10 +94,10 @@ class LoopState:
         df.write.parquet(path)
         self._path = path
         if previous is not None:
-            _delete(spark, previous)
+            delete_path(spark, previous)
         return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove every stage this application has written; frames that still read them become invalid."""
-    _delete(spark, _application_folder(spark))
+    delete_path(spark, _application_folder(spark))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from stayloom.session import stage_path
+from stayloom.session import delete_path
 
 
 class TableRegistry:
@@ -82,14 +83,21 @@ class StageStore:
 def refresh_table(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
     """Replace the named table by the result of ``df`` (full refresh).
 
-    Each refresh writes a new location before the name is switched, so ``df`` may read the table it replaces and a
-    failed job leaves the old table in place.
+    Each refresh writes a new folder, under the warehouse unless ``location`` names one, before the name is switched; so
+    ``df`` may read the table it replaces, and a failed job leaves the old table in place. The folder of the version
+    before is removed last.
     """
     spark = df.sparkSession
-    path = location or stage_path(spark, name)
+    path = location or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
+    before = None
+    if spark.catalog.tableExists(name):
+        before = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+        spark.sql(f"DROP TABLE {name}")
+    table = spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
+    if before and before.rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
+        delete_path(spark, before)
+    return table
 
 
 def update_column(df: DataFrame, column: str, value: Column) -> DataFrame:

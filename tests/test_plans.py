@@ -83,6 +83,7 @@ def test_external_verification_set(spark, folder, wide):
     kinds = {r["model"]: r["n"] for r in data.groupBy("model").agg(F.count("*").alias("n")).collect()}
     assert kinds[1] > 0 and kinds[0] > 0
     assert data.filter("model = 0").filter("sepsis_aki in (0, 1)").count() == kinds[0]
+    assert len(data.collect()) == kinds[0] + kinds[1]
 
 
 def test_matching_flow(spark, folder):

@@ -95,3 +95,24 @@ def test_clustered_log_spreads_a_hot_item(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "log"))
     assert back.count() == 30_000
     assert back.filter("itemid = 7").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 1.0), (2, 0.0, nan), (3, 0.0, 2.0), (4, 0.0, 3.0), (5, 1.0, 4.0)], "id int, t double, v double")
+    assert P.filter_complete_rows(df, ["t", "v"], 1.0).count() == 3
+    assert P.filter_target_cohort(df.withColumnRenamed("t", "sepsis"), "sepsis").count() == 4
+    kept = [r.t for r in P.balance_undersample(df, "t", key="id").collect()]
+    assert len(kept) == 2 and kept.count(1.0) == 1
+    from stayloom.operators.impute import cell_summary, mean_fill
+    assert {r["column"]: r["filled"] for r in cell_summary(df, ["t", "v"]).collect()} == {"t": 4, "v": 4}
+    assert [r.v for r in mean_fill(df, ["v"]).orderBy("id").collect()] == [1.0, 2.5, 2.0, 3.0, 4.0]
+
+
+def test_refreshed_table_lies_outside_the_scratch_folder(spark):
+    from stayloom.session import scratch_dir
+    refresh_table(spark.range(3).toDF("n"), "kept_table")
+    refresh_table(spark.table("kept_table").union(spark.range(2).toDF("n")), "kept_table")
+    place = spark.sql("DESCRIBE FORMATTED kept_table").where("col_name = 'Location'").first()["data_type"]
+    assert scratch_dir(spark) not in place and spark.table("kept_table").count() == 5
+    spark.sql("DROP TABLE kept_table")

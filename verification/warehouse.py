@@ -15,7 +15,7 @@ from stayloom.sources.roles import Roles
 LAB_ITEMS = sorted({i for ids in V.WIDE_LAB_FEATURES.values() for i in ids} | {i for _, i in V.DAY_ITEM_VIEWS.values()}
                    | {i for _, ids in V.DAY_GROUP_VIEWS.values() for i in ids} | set(V.STAY_ITEMS) | {V.PROTHROMBIN_ITEM})
 CODES = [*V.COAGULATION_CODES, *V.KIDNEY_CODES, "J189", "A419"]
-SPECIMENS = list(dict.fromkeys(v for names in V.SITE_SPECIMENS.values() for v in (names[:6] if "SPUTUM" in names else names[:3])))
+SPECIMENS = list(dict.fromkeys(v for names in V.SITE_SPECIMENS.values() for v in names))
 CHART_ITEM = 220045
 
 
