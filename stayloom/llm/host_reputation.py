@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayloom.session import cut_lineage
+
 # The rules of the contract, as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 LIMIT, DEVIATIONS = 0.5, 2.0
@@ -40,9 +42,14 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 
 def page_outcome(html: Column) -> Column:
     """1 where the page's text outside tags is full of marks, shouting included, 0 where it is not, NULL where there is no text."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>|&\w+;", " "))
-    marks = F.length(text) - F.length(F.translate(text, "#*$%&|!", ""))
-    return F.when(F.length(text) > 0, (marks > MARK_SHARE * F.length(text)).cast("int"))
+    text = F.trim(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>|<[^>]*+>|&\w+;", " "))
+
+    def judge(t: Column) -> Column:
+        marks = F.length(F.regexp_replace(t, r"[^#*$%&|!]+", ""))
+        return F.when(F.length(t) > 0, (marks > MARK_SHARE * F.length(t)).cast("int"))
+
+    # Bound by a lambda, so that a page is stripped once although its text is asked for several times.
+    return F.element_at(F.transform(F.array(text), judge), 1)
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
@@ -83,14 +90,14 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outc
     The longest fitting rule decides; where none fits the host's posterior does. ``outcome`` is any 0/1/NULL column of pages,
     by default ``page_outcome`` of the html. Pages without an outcome are judged but not counted, a host without a counted
     page has its prior; NULL urls and urls without ``://`` have the empty host and path, which is judged like any host. Repeated
-    rows count as often as they occur. A host with very many pages is one row after the combine, and Spark splits the
-    closing join for it.
+    rows count as often as they occur. The html is read once, into a written table of one row per host; a host with very many
+    pages is one row after the combine, and Spark splits the closing join for it.
     """
     outcome = page_outcome(F.col("html")) if outcome is None else outcome
     url = F.col("url").cast("string")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), outcome.alias("outcome"))
     counts = parsed.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad"))
-    verdicts = host_verdicts(counts, limit=limit, deviations=deviations)
+    verdicts = host_verdicts(cut_lineage(counts, "hosts"), limit=limit, deviations=deviations)
     ruled = parsed.drop("outcome").withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     return ruled.join(verdicts, "host").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
