@@ -14,7 +14,6 @@ from stayloom.functions.scalar import round_half_even
 from stayloom.session import cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 
 
 def propensity_score(df: DataFrame, covariates: Sequence[str], treatment: str, *, key: str,
@@ -50,12 +49,13 @@ def nearest_control(treated: DataFrame, control: DataFrame, *, key: str, score:
     Returns ``treated_key, control_key, score``; equal distances go to the smaller control key. Scores are reduced to
     distinct values first, so any number of equal scores is one point. The points are cut into score ranges of similar
     size; inside a range a running window finds the controls below and above, and the last control of earlier ranges
-    (first of later ones) is carried across through a table with one row per range.
+    (first of later ones) is carried across through a table with one row per range. Treated rows without a score (NULL or
+    NaN) have no nearest control and are not in the result; controls without a score are never chosen.
     """
     wanted = treated.select(F.col(score).alias("s"), F.lit(None).cast(control.schema[key].dataType).alias("c"),
                             F.lit(True).alias("t"))
     offered = control.select(F.col(score).alias("s"), F.col(key).alias("c"), F.lit(False).alias("t"))
-    points = cut_lineage(wanted.unionByName(offered).filter(F.col("s").isNotNull()).groupBy("s").agg(
+    points = cut_lineage(wanted.unionByName(offered).filter(F.col("s").isNotNull() & ~F.isnan("s")).groupBy("s").agg(
         F.min("c").alias("c"), F.bool_or("t").alias("t")), "scores")
     ranged = _score_ranges(points)
     point = F.when(F.col("c").isNotNull(), F.struct("s", "c"))
@@ -75,17 +75,15 @@ def nearest_control(treated: DataFrame, control: DataFrame, *, key: str, score:
 
 def _score_ranges(points: DataFrame) -> DataFrame:
     """Add the range number ``r``; the limits are approximate quantiles of the distinct scores."""
-    n = points.count()
-    parts = min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET))
-    if parts <= 1:
-        return points.withColumn("r", F.lit(0.0))
-    limits = sorted(set(points.approxQuantile("s", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    parts = max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // ROWS_PER_BUCKET))
+    # Any limit gives right matches, so a table without scores may have an arbitrary one.
+    limits = sorted(set(points.approxQuantile("s", [i / parts for i in range(1, parts)], 0.1 / parts))) or [0.0]
     bucketizer = Bucketizer(splits=[float("-inf"), *limits, float("inf")], inputCol="s", outputCol="r")
     return bucketizer.transform(points)
 
 
 def _carry_edges(ranged: DataFrame, point: Column) -> DataFrame:
-    """Per range the nearest control before it and after it (at most ``MAX_BUCKETS`` rows pass the driver)."""
+    """Per range the nearest control before it and after it (one row per range passes the driver)."""
     rows = sorted(ranged.groupBy("r").agg(F.min(point).alias("first"), F.max(point).alias("last")).collect(),
                   key=lambda row: row["r"])
     below, above = {}, {}

@@ -156,6 +156,18 @@ def test_match_with_controls_on_one_side_only(spark, monkeypatch):
     assert pairs.columns == ["id_t", "p_t", "id_c", "p_c"] and pairs.count() == 9
 
 
+def test_match_leaves_out_rows_without_a_score_and_takes_no_single_task(spark):
+    schema = "id long, p double"
+    t = spark.createDataFrame([(1, 0.2), (2, None), (3, float("nan"))], schema)
+    c = spark.createDataFrame([(7, 0.5), (8, None), (9, float("nan")), (6, 0.9)], schema)
+    got = match.nearest_control(t, c, key="id", score="p")
+    assert [(r["treated_key"], r["control_key"]) for r in got.collect()] == [(1, 7)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "cross" not in plan.lower() and "(r#" in plan
+    empty = spark.createDataFrame([], schema)
+    assert match.nearest_control(empty, empty, key="id", score="p").collect() == []
+
+
 def test_propensity_modes(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 2))
@@ -223,6 +235,15 @@ def test_models_beat_the_majority(spark, separable, name, options):
     assert row["acc"] > 100 * max(row["share"], 1 - row["share"]) + 8
 
 
+def test_seedless_model_is_fitted_once(spark, separable, monkeypatch):
+    train, verify = separable
+    fits = []
+    monkeypatch.setitem(classify.MODELS, "knn_model", lambda *a, seed, **k: fits.append(seed) or classify.fit_predict_tree(*a, seed=seed, **k))
+    runs = classify.repeated_accuracy(train, verify, features=["a", "b"], target="y", key="id", models=["knn_model"], seeds=[4, 5, 6])
+    rows = runs.collect()
+    assert fits == [4] and [r["seed"] for r in rows] == [4, 5, 6] and len({r["accuracy"] for r in rows}) == 1
+
+
 def test_repeated_accuracy_and_confusion(spark, separable):
     train, verify = separable
     runs = classify.repeated_accuracy(train, verify, features=["a", "b"], target="y", key="id", models=["tree_model"], seeds=[0, 1])

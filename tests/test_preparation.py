@@ -9,6 +9,18 @@ from stayloom.operators import ranks
 from stayloom.sources.tables import StageStore, refresh_table, write_clustered
 
 
+def test_number_rows(spark):
+    rows = [(i % 5, None if i % 4 == 0 else i, "x") for i in range(40)] + [(None, 3, "y")] * 30
+    df = spark.createDataFrame(rows, "a int, b int, start string").repartition(4)
+    got = P.number_rows(df, ["a", "b"], "n", first=10)
+    assert got.columns == ["a", "b", "start", "n"]
+    ordered = sorted(got.collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in ordered] == list(range(10, 80))
+    low = lambda v: (v is not None, v or 0)
+    assert [(r["a"], r["b"]) for r in ordered] == [t[:2] for t in sorted(rows, key=lambda t: (low(t[0]), low(t[1])))]
+    assert P.number_rows(df.limit(0), ["a"], "n").collect() == []
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(values=st.lists(st.integers(-2**62, 2**62) | st.integers(-3, 3), min_size=1, max_size=60), data=st.data())
 def test_order_statistics(spark, values, data):

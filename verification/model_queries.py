@@ -18,12 +18,13 @@ COLUMNS = ["f1", "f2", "f3", "f4", "f5"]
 COVARIATES = ["f1", "f2", "f3", "f4", "f5"]
 SPLIT = "round_even(0.8 * (select count(*) from r_features), 0)"
 RANKED = f"""select *, row_number() over (order by md5(id || '-1987')) <= {SPLIT} is_train from r_features"""
-COMPLETE = """select id, f1, f2, f3, f4, f5, label from r_features where f1 is not null and f2 is not null
-    and f3 is not null and f4 is not null"""
+COMPLETE = "select id, label, " + ", ".join(
+    f"round(coalesce({c}, (select avg({c}) from r_features)), 8) {c}" for c in COLUMNS) + " from r_features"
 
 
 def complete(r: Roles) -> DataFrame:
-    return r.features().dropna(subset=COLUMNS).select("id", *COLUMNS, "label")
+    """Every row, missing cells filled with their column's mean."""
+    return r8_all(impute.mean_fill(r.features().select("id", *COLUMNS, "label"), COLUMNS), *COLUMNS)
 
 
 def split(df: DataFrame, seed: int = 1987) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +75,7 @@ def impute_iterative(r: Roles) -> DataFrame:
 
 @query("propensity_score")
 def propensity_score(r: Roles) -> DataFrame:
-    df = r.features().dropna(subset=COVARIATES)
+    df = impute.mean_fill(r.features(), COVARIATES)
     dosed = df.withColumn("per_day", F.coalesce(F.col("dose") / F.col("stay_day"), F.lit(0.0)))
     return match.propensity_score(dosed, COVARIATES, "per_day", key="id").select("id", "per_day", "propensity_score")
 
@@ -159,16 +160,16 @@ def tree_classify(r: Roles) -> DataFrame:
 
 @query("mlp_classify")
 def mlp_classify(r: Roles) -> DataFrame:
-    return model_table(r, "dnn_model", max_iter=100)
+    return model_table(r, "dnn_model")
 
 
 @query("predictions_table")
 def predictions_table(r: Roles) -> DataFrame:
-    """Verify rows with class and raw output of every repeated model, from its first run."""
+    """Verify rows with class and raw output of every model; of the repeated ones, from the first run."""
     train, verify = split(cut_lineage(complete(r)))
     base = verify.select("id", "label")
     parts = []
-    for name in classify.REPEATED:
+    for name in classify.MODELS:
         predicted = classify.MODELS[name](train, verify, features=COLUMNS, label="label", key="id", seed=0)
         parts.append(classify.attach_predictions(base, predicted, key="id", target="label").select(
             "*", F.lit(name).alias("model")))
@@ -203,7 +204,8 @@ def confusion_matrix(r: Roles) -> DataFrame:
     return evaluate.confusion_matrix(rule_predictions(r), "label", "pred")
 
 
-@query("assemble_features")
+@query("assemble_features", "select id, label, [" + ", ".join(f"{c}::double" for c in COLUMNS) + "] features from complete",
+       complete=COMPLETE)
 def assemble_features(r: Roles) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 

@@ -106,10 +106,11 @@ def add_missing(r: Roles) -> DataFrame:
     return P.add_missing_columns(r.age(), ["subject_id", "age", "name", "note"])
 
 
-@query("row_key")
+@query("row_key", """select *, row_number() over (order by subject_id nulls first, charttime nulls first, itemid nulls first,
+    hadm_id nulls first, valuenum nulls first) - 1 row_id from r_labs""")
 def row_key(r: Roles) -> DataFrame:
-    """Lab events have no key of their own: give each row one that is unique, though not consecutive."""
-    return r.labs().withColumn("row_id", F.monotonically_increasing_id())
+    """Lab events have no key of their own: number them from 0."""
+    return P.number_rows(r.labs(), ["subject_id", "charttime", "itemid", "hadm_id", "valuenum"], "row_id")
 
 
 # --- filters ----------------------------------------------------------------------------------------------------
