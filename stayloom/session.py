@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     # A hot admission is split even where that costs one more exchange before the aggregate above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # What crosses between the JVM and a Python worker at a time; one longer row still goes whole.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 _local_scratch: str | None = None
