@@ -110,7 +110,7 @@ class Codec:
         for name, side in (("right", 1), ("left", 0)):
             lines = [spine(t, side) for t in range(self.size)]
             depth = max(map(len, lines))
-            piece, ends = np.full((self.size, depth), -1, np.int64), np.zeros((self.size, depth), np.int64)
+            piece, ends = np.full((self.size, depth), -1, np.int32), np.zeros((self.size, depth), np.int32)
             for t, line in enumerate(lines):
                 for j, (p, e) in enumerate(line):
                     piece[t, j], ends[t, j] = p, e
@@ -201,7 +201,7 @@ class Codec:
                 some = some[left[b[some], i] >= 0]
                 if not len(some):
                     break
-                key = right[a[some], j] * self.size + left[b[some], i]
+                key = right[a[some], j].astype(np.int64) * self.size + left[b[some], i]
                 place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
                 rank = np.where(self.pair_keys[place] == key, self.pair_ranks[place], len(self.pair_keys) + 9)
                 bad = (rank < right_end[a[some], j]) & (rank <= left_end[b[some], i])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
 BYTE_BASE, GRAM_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F
-_KEPT_POWERS = 1 << 22
+_KEPT_POWERS = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -196,8 +196,13 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` under one name, so that every operator reads alike."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` that hands Arrow's free memory back after each task, since workers are used again by later stages."""
+
+    def task(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
