@@ -1,118 +1,107 @@
-"""Line dedup by content-defined chunks: a rolling hash over line hashes sets the borders, repeated multi-line chunks go.
+"""Line dedup by line windows: every window of adjacent lines that an earlier text has too, or the same text before, goes.
 
-A border lies after a line when the hash of that line and the one before it is divisible by 4, so an inserted or deleted line
-moves borders only next to it. Equal hashes are only candidates: one aggregation per hash compares the smallest and the largest
-bytes of all its chunks, and only chunks whose bytes all agree are removed.
+A run of two or more lines is repeated exactly where all its pairs of adjacent lines are, and a pair is itself such a run; so
+the pairs, keyed at every place of a text, find every repeated run whatever stands around it. Keys are SHA-256 digests of the
+lines' bytes. One aggregation per key finds its first text, a join brings the repeated places back to their texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayloom.llm import textkit as K
 
-DIVISOR = 4
 MIN_LINES = 2
 NO_ID = -(1 << 63)
 
 
-class Chunks:
-    """The chunks of a slice of texts: line counts, byte ranges (a range ends where the next chunk starts) and two hashes."""
+class Lines:
+    """The non-empty lines of a slice of texts and the windows of ``width`` adjacent ones: text, first line, key, first place."""
 
-    def __init__(self, column: pa.Array, divisor: int = DIVISOR):
+    def __init__(self, column: pa.Array, width: int):
         raw, self.offsets = K.text_bytes(column)
-        self.raw = raw
-        starts, ends = K.runs(raw != 10, self.offsets)
-        owner = K.owners(starts, self.offsets)
-        self.lines = K.per_text(owner, len(column))
-        value = K.segment_hash(raw, starts, ends)
-        first = np.concatenate([[True], owner[1:] != owner[:-1]])[:len(owner)]
-        before = np.where(first, np.uint64(0), np.concatenate([[np.uint64(0)], value[:-1]])[:len(value)])
-        border = K.mix(before * np.uint64(K.GRAM_BASE) + value) % np.uint64(divisor) == 0
-        opens = first.copy()
-        opens[1:] |= border[:-1]
-        begin = np.flatnonzero(opens)
-        after = np.append(begin[1:], len(starts))
-        self.owner, self.n_lines = owner[begin], after - begin
-        self.starts = starts[begin]
-        limit = np.append(self.starts[1:], len(raw)) if len(begin) else self.starts
-        last = np.append(self.owner[1:] != self.owner[:-1], True) if len(begin) else np.zeros(0, bool)
-        self.ends = np.where(last, self.offsets[self.owner + 1], limit)
-        body = ends[after - 1] if len(begin) else self.ends
-        self.body_ends = body
-        self.h1 = K.segment_hash(raw, self.starts, body)
-        self.h2 = K.segment_hash(raw, self.starts, body, K.SECOND_BASE)
-
-
-def _chunk_rows(docs: DataFrame, with_text: bool, min_lines: int) -> DataFrame:
+        self.starts, self.ends = K.runs(raw != 10, self.offsets)
+        self.owner = K.owners(self.starts, self.offsets)
+        self.counts = K.per_text(self.owner, len(column))
+        self.data = raw.tobytes()
+        n = len(self.starts)
+        self.at = np.flatnonzero(self.owner[:n - width + 1] == self.owner[width - 1:]) if n >= width else np.zeros(0, np.int64)
+        digest = [hashlib.sha256(self.data[a:b]).digest() for a, b in zip(self.starts.tolist(), self.ends.tolist())]
+        self.keys = [hashlib.sha256(b"".join(digest[i:i + width])).digest() for i in self.at.tolist()]
+        first: dict[tuple[int, bytes], int] = {}
+        self.first = np.array([first.setdefault(k, i) for i, k in zip(self.at.tolist(), zip(self.owner[self.at].tolist(), self.keys))], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.counts)])
+
+
+def _window_rows(texts: DataFrame, width: int) -> DataFrame:
+    """One row per text and different window: the text's id and digest, the window's key and its first line in the text."""
+
     def work(batches):
         for part in K.slices(batches, "text"):
-            c = Chunks(part.column("text"))
-            many = np.flatnonzero(c.n_lines >= min_lines)
-            _, one = np.unique(K.mix(c.h1[many] + c.owner[many].astype(np.uint64) * np.uint64(K.SECOND_BASE)), return_index=True)
-            many = many[np.sort(one)]
-            data = c.raw.tobytes()
-            out = {"doc_id": part.column("doc_id").to_numpy()[c.owner[many]], "h1": K.signed(c.h1[many]), "h2": K.signed(c.h2[many])}
-            if with_text:
-                out["chunk"] = pa.array([data[a:b] for a, b in zip(c.starts[many].tolist(), c.body_ends[many].tolist())], pa.binary())
-            yield pa.RecordBatch.from_pydict(out)
+            lines = Lines(part.column("text"), width)
+            one = np.flatnonzero(lines.first == lines.at)
+            owner = lines.owner[lines.at[one]]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part.column("doc_id").to_numpy()[owner], "digest": part.column("digest").take(pa.array(owner)),
+                "key": pa.array([lines.keys[i] for i in one.tolist()], pa.binary()),
+                "at": (lines.at[one] - lines.begin[owner]).astype(np.int32)})
 
-    return K.map_arrow(docs, work, "doc_id bigint, h1 bigint, h2 bigint" + ", chunk binary" * with_text)
+    return K.map_arrow(texts.select("doc_id", "digest", "text"), work, "doc_id bigint, digest binary, key binary, at int")
 
 
 def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
     """Every row of ``docs`` as struct ``doc``, with n_lines, n_removed (lines) and ``cleaned`` (the text that is left).
 
-    A chunk of at least ``min_lines`` non-empty lines whose bytes are also in a document with a smaller id, or earlier in the same
-    text, is removed with the line breaks up to the next chunk; its first occurrence stays. Single-line chunks stay. Lines
-    are split at line feeds only; empty lines are no lines. NULL text stays NULL, empty text empty. Rows that share an id are
-    judged as one document: none of them is removed for the other, repeats inside a text are. Rows without an id share
-    one id below all others. Packing the row into ``doc`` keeps any other column, whatever its name.
+    A line goes when a window of ``min_lines`` adjacent non-empty lines that covers it is also in an earlier text, or starts at
+    least ``min_lines`` lines before in the same text; so the union of all repeated runs of that many lines and more goes,
+    and the first occurrence of every line stays. A removed line takes the line breaks up to the next line with it. Lines
+    are split at line feeds only; empty lines are no lines, so they neither part nor tell apart windows. NULL text stays NULL,
+    empty text empty. Texts are in order of id (NULL first), then of the SHA-256 of the text; of equal texts with one id, one
+    is the first and the others are later. Packing the row into ``doc`` keeps any other column, whatever its name.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id")
-    texts = docs.select(key, F.col("text").cast("string").alias("text"))
-    groups = _chunk_rows(texts, True, min_lines).groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    shared = groups.where("first < last and low = high").select("h1", "h2", "first")
-    marked = _chunk_rows(texts, False, min_lines).join(shared, ["h1", "h2"]).where("doc_id > first")
-    marked = marked.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select(key, K.pack(docs))
+    text = F.col("text").cast("string")
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
+    row = F.struct("doc_id", "digest")
+    windows = _window_rows(docs.select(key, digest, text.alias("text")), min_lines)
+    groups = windows.groupBy("key").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    shared = groups.where("first < last").select("key", "first")
+    marked = windows.join(shared, "key").where(row > F.col("first")).groupBy("doc_id", "digest").agg(F.collect_set("at").alias("gone"))
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))).alias("others")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("others")) - 1
+    rows = docs.select(key, digest, others, K.pack(docs)).withColumn("copy", copy)
 
     def cut(batches):
         for part in K.slices(batches, "doc.text"):
-            text = K.field(part, "doc.text")
-            c = Chunks(text)
+            text = K.field(part, "doc.text").cast(pa.string())
+            lines = Lines(text, min_lines)
             gone = part.column("gone").fill_null([])
             owner = np.repeat(np.arange(part.num_rows), np.diff(gone.offsets.to_numpy()))
-            flat = gone.flatten()
-            salt = np.uint64(K.SECOND_BASE)
-            mark = K.mix(flat.field(0).to_numpy().view(np.uint64) ^ K.mix(flat.field(1).to_numpy().view(np.uint64))) + owner.astype(np.uint64) * salt
-            own = K.mix(c.h1 ^ K.mix(c.h2)) + c.owner.astype(np.uint64) * salt
-            drop = np.isin(own, mark) & (c.n_lines >= min_lines)
-            again = np.flatnonzero(K.repeated(own) & ~drop & (c.n_lines >= min_lines))
-            data, seen = c.raw.tobytes(), set()
-            for i in again.tolist():
-                body = (int(c.owner[i]), data[c.starts[i]:c.body_ends[i]])
-                drop[i] = body in seen
-                seen.add(body)
-            removed = K.per_text(c.owner, part.num_rows, np.where(drop, c.n_lines, 0))
+            marks = np.zeros(len(lines.starts), bool)
+            marks[lines.begin[owner] + gone.flatten().to_numpy()] = True
+            again = part.column("copy").to_numpy()[lines.owner[lines.at]] > 0
+            hit = lines.at[marks[lines.first] | again | (lines.at >= lines.first + min_lines)]
+            drop = K.covered(hit, min_lines, len(lines.starts))
+            removed = K.per_text(lines.owner[drop], part.num_rows)
             cleaned = text.to_pylist()
-            for i in np.unique(c.owner[drop]).tolist():
-                a, b = int(c.offsets[i]), int(c.offsets[i + 1])
-                pieces, at = [], a
-                lo, hi = np.searchsorted(c.owner, [i, i + 1])
-                for j in (lo + np.flatnonzero(drop[lo:hi])).tolist():
-                    pieces.append(data[at:c.starts[j]])
-                    at = int(c.ends[j])
-                cleaned[i] = (b"".join(pieces) + data[at:b]).decode()
+            for i in np.flatnonzero(removed).tolist():
+                lo, hi, b = int(lines.begin[i]), int(lines.begin[i + 1]), int(lines.offsets[i + 1])
+                after = [*lines.starts[lo + 1:hi].tolist(), b]
+                pieces, at = [], int(lines.offsets[i])
+                for j in np.flatnonzero(drop[lo:hi]).tolist():
+                    pieces.append(lines.data[at:lines.starts[lo + j]])
+                    at = after[j]
+                cleaned[i] = (b"".join(pieces) + lines.data[at:b]).decode()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array(c.lines), pa.array(removed), pa.array(cleaned, pa.string())],
+                [part.column("doc"), pa.array(lines.counts), pa.array(removed), pa.array(cleaned, pa.string())],
                 schema=pa.schema([part.schema.field("doc"), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("cleaned", pa.string())]))
 
-    joined = rows.join(marked, "doc_id", "left").select("doc", "gone")
+    joined = rows.join(marked, ["doc_id", "digest"], "left").select("doc", "copy", "gone")
     schema = T.StructType([joined.schema["doc"], *T.StructType.fromDDL("n_lines bigint, n_removed bigint, cleaned string").fields])
     return joined.mapInArrow(cut, schema)
