@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import pytest
 from stayloom.llm import line_dedup
 
@@ -42,6 +43,18 @@ def test_every_repeated_run(make):
     assert cleaned(make(rows)) == brute(rows)
 
 
+def test_exact_copies_go_whole(make):
+    rng = random.Random(9)
+    texts = ["\n".join(f"text {t} line {i} {rng.random()}" for i in range(rng.randint(2, 30))) for t in range(20)]
+    rows = [(c * 100 + t, text, "en", "s", 0) for c in range(3) for t, text in enumerate(texts)]
+    got = {r.doc.doc_id: r for r in line_dedup.line_dedup(make(rows)).collect()}
+    assert all(got[t].n_removed == 0 for t in range(20))
+    assert all(got[d].n_removed == got[d].n_lines and got[d].cleaned == "" for d in got if d >= 100)
+    left = corpus_pipeline.without_repeated_lines(None, make(rows), "")
+    left = corpus_pipeline.one_of_each_group(None, left, "")
+    assert {r.doc_id: r.text for r in left.collect()} == dict(enumerate(texts))
+
+
 @pytest.mark.parametrize("doc_id", [None, 5])
 def test_rows_of_one_id(make, doc_id):
     rows = [(doc_id, "a\nb\nc", "en", "s", 0), (doc_id, "x\na\nb\ny", "en", "s", 0), (doc_id, "a\nb\nc", "fr", "s", 0), (doc_id, None, "en", "s", 0)]
