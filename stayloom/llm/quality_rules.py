@@ -1,4 +1,7 @@
-"""Quality rules: exact surface counts, then a hashed n-gram log-likelihood ratio of trusted target against raw corpus."""
+"""Quality rules: exact surface counts, then an n-gram log-likelihood ratio of trusted target against raw corpus.
+
+Grams are counted by 64-bit hash into a table that grows with the corpus. The few that make up most of a corpus are looked
+up inside workers, all others meet their weights in a join."""
 
 from __future__ import annotations
 
@@ -8,20 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayloom.llm import textkit as K
+from stayloom.session import cut_lineage
 
 SYMBOLS = K.byte_table(list(b"#*$%&|<>"))
-BUCKETS = 1 << 14
-TARGET_ROWS = 20_000
+HEAD_SHARE = 1 << 17
+PRIOR = 4.0
+COMBINE = 1 << 20
 THRESHOLD = -0.25
 RESULT = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "base_failed boolean, llr double, kept boolean")
 
 
-def unit_features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each unit and each pair of neighbouring units."""
+def unit_features(column: pa.Array, buckets: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each unit and each pair of neighbouring units; hashes modulo ``buckets`` if given."""
     owner, value, _ = K.units(column)
     at, pair = K.grams(value, owner, 2)
-    return np.concatenate([owner, owner[at]]), (np.concatenate([value, pair]) % np.uint64(buckets)).astype(np.int64)
+    value = np.concatenate([value, pair])
+    return np.concatenate([owner, owner[at]]), value if buckets is None else value % np.uint64(buckets)
 
 
 def surface_counts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -49,58 +55,102 @@ def surface_counts(column: pa.Array) -> dict[str, np.ndarray]:
             "n_dup_lines": K.per_text(line_owner, n, again), "n_repeat_words": K.per_text(words.owner[in_repeat], n)}
 
 
-def target_sample(labels: DataFrame, rows: int) -> np.ndarray:
-    """Ids of at most ``rows`` documents labelled good, those with the smallest hashes; sorted."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("i"))
-    found = good.distinct().orderBy(F.xxhash64("i"), "i").limit(rows).collect()
-    return np.array(sorted(r.i for r in found), np.int64)
-
+def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int | None) -> DataFrame:
+    """gram, raw and good: how often each gram is in all documents, and in those labelled good."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    flagged = docs.join(good.distinct().withColumn("good", F.lit(True)), "doc_id", "left")
 
-def gram_weights(docs: DataFrame, target: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | all documents), with add-one smoothing on both sides."""
+    def counted(held):
+        value, trusted = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(value)
+        value, trusted = value[order], trusted[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        return pa.RecordBatch.from_pydict({"gram": K.signed(value[start]), "raw": np.diff(np.append(start, len(value))), "good": np.add.reduceat(trusted, start)})
 
-    def count(batches):
-        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    def work(batches):
+        held, size = [], 0
         for part in K.slices(batches, "text"):
-            owner, bucket = unit_features(part.column("text"), buckets)
-            trusted = np.isin(part.column("doc_id").fill_null(0).to_numpy(), target)
-            trusted &= part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            raw += np.bincount(bucket, minlength=buckets)
-            good += np.bincount(bucket[trusted[owner]], minlength=buckets)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": seen.astype(np.int32), "raw": raw[seen], "good": good[seen]})
-
-    rows = K.map_arrow(docs, count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = np.ones(buckets), np.ones(buckets)
-    for r in rows:
-        raw[r.bucket] += r.raw
-        good[r.bucket] += r.good
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS,
+            owner, value = unit_features(part.column("text"), buckets)
+            held.append((value, part.column("good").is_valid().to_numpy(zero_copy_only=False)[owner]))
+            size += len(value)
+            if size >= COMBINE:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    rows = K.map_arrow(flagged.select("text", "good"), work, "gram bigint, raw bigint, good bigint")
+    return rows.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+
+
+def gram_weights(counts: DataFrame, raw: int, good: int, buckets: int | None, prior: float) -> DataFrame:
+    """gram and its weight: log of the target's rate over the raw one."""
+    if not good:
+        weight = F.lit(0.0)
+    elif buckets is not None:
+        weight = F.log((F.col("good") + 1) / F.lit(float(good + buckets))) - F.log((F.col("raw") + 1) / F.lit(float(raw + buckets)))
+    else:
+        weight = F.log((F.col("good") + prior) / (F.col("raw") * F.lit(good / raw) + prior))
+    return counts.select("gram", "raw", weight.alias("weight"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int | None = None, prior: float = PRIOR,
                   threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): exact counts, base rules, the mean log-likelihood ratio and the verdict.
 
-    The target multinomial is fitted on at most ``target_rows`` documents labelled good; the raw one covers every document.
-    Both have ``buckets`` cells, which bounds what reaches the driver. ``llr`` is the mean weight over all unigrams and
-    bigrams of the whole text, and a text is kept from ``threshold`` upward. NULL and empty text: all counts 0, llr 0, failed
-    by the base rule. Rows with a NULL or repeated id are judged row by row. Without good labels every weight is the raw
-    corpus against a uniform target, and the verdict then falls back to the base rules. Other columns are ignored.
+    The target is every document labelled good, the raw corpus every document. A gram's weight is log((g + prior) / (e + prior)):
+    g is its count in the target, e the count the raw rate lets expect there, so a rare gram stays near 0. With ``buckets``,
+    grams share that many cells with add-one smoothing. ``llr`` is the mean weight over all unigrams and bigrams of the
+    whole text, and a text is kept from ``threshold`` upward. Grams with one in ``HEAD_SHARE`` of all counts or more, at most so
+    many, go to the workers; no other count leaves the tables. NULL and empty text: all counts 0, llr 0, failed by the base
+    rule. Rows with a NULL or repeated id are judged row by row; a 64-bit hash of id and text ties them to their sums. Without
+    good labels every weight is 0, and the verdict falls back to the base rules. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    target = target_sample(labels, target_rows)
-    weights = gram_weights(docs, target, buckets) if len(target) else np.zeros(buckets)
+    counts = cut_lineage(gram_counts(docs, labels, buckets), "grams")
+    sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    weights = gram_weights(counts, *sums, buckets, prior)
+    often = F.col("raw") * HEAD_SHARE >= sums[0]
+    found = weights.where(often).select("gram", "weight").toArrow()
+    gram = found.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    head, head_weight = gram[order], found.column("weight").to_numpy()[order]
+    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+
+    def split(text):
+        owner, value = unit_features(text, buckets)
+        at = np.minimum(np.searchsorted(head, value), max(len(head) - 1, 0))
+        inside = head[at] == value if len(head) else np.zeros(len(value), bool)
+        return owner, value, at, inside
+
+    def tail(batches):
+        for part in K.slices(batches, "text"):
+            owner, value, _, inside = split(part.column("text"))
+            owner, value = owner[~inside], value[~inside]
+            order = np.lexsort((value, owner))
+            owner, value = owner[order], value[order]
+            start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[:len(value)])
+            yield pa.RecordBatch.from_pydict({"row": part.column("row").to_numpy()[owner[start]], "gram": K.signed(value[start]),
+                                              "n": np.diff(np.append(start, len(value))).astype(np.int32)})
 
     def judge(batches):
         for part in K.slices(batches, "text"):
             text, n = part.column("text"), part.num_rows
             c = surface_counts(text)
-            owner, bucket = unit_features(text, buckets)
-            llr = np.bincount(owner, weights=weights[bucket], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+            owner, _, at, inside = split(text)
+            near = np.bincount(owner[inside], weights=head_weight[at[inside]], minlength=n).astype(np.float64)
             failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **c, "base_failed": failed, "llr": llr,
-                                              "kept": ~failed & (llr >= threshold)})
-
-    return K.map_arrow(docs, judge, RESULT)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **c, "base_failed": failed, "row": part.column("row"),
+                                              "near": near, "near_n": K.per_text(owner[inside], n)})
+
+    # Equal rows add up to one sum, which is divided by their number.
+    far = K.map_arrow(keyed, tail, "row bigint, gram bigint, n int").join(weights.where(~often).select("gram", "weight"), "gram")
+    far = far.groupBy("row").agg(F.sum(F.col("n") * F.col("weight")).alias("far"), F.sum("n").alias("far_n"))
+    copies = keyed.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    far = far.join(copies, "row").select("row", (F.col("far") / F.col("copies")).alias("far"), (F.col("far_n") / F.col("copies")).alias("far_n"))
+    surface = K.map_arrow(keyed, judge, RESULT.split(", llr")[0] + ", row bigint, near double, near_n bigint")
+    zero = F.lit(0.0)
+    llr = (F.col("near") + F.coalesce("far", zero)) / F.greatest(F.col("near_n") + F.coalesce("far_n", zero), F.lit(1.0))
+    done = surface.join(far, "row", "left").withColumn("llr", llr)
+    return done.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
