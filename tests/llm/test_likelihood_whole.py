@@ -33,3 +33,11 @@ def test_every_gram_has_its_own_weight(make):
         want.append((d or 0, sum(n * np.log((target[g] + prior) / (raw[g] * share + prior)) for g, n in own.items()) / own.total()))
     got = quality_rules.quality_rules(make(rows), make([(i, 1, 0) for i in good] * 2 + [(None, 1, 0)], LABELS)).collect()
     assert [x for p in sorted((r.doc_id or 0, r.llr) for r in got) for x in p] == pytest.approx([x for p in sorted(want) for x in p])
+
+
+def test_every_good_document_counts(spark, make):
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "if(id < 25000, 'a', 'b') AS text")
+    marks = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    cells = 1 << 12
+    want = np.log(25_001 / (25_000 + cells)) - np.log(25_001 / (50_000 + cells))
+    assert quality_rules.quality_rules(docs, marks, buckets=cells).where("doc_id = 1").first().llr == pytest.approx(want)
