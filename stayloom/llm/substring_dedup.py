@@ -19,9 +19,8 @@ from stayloom.session import cut_lineage
 
 WINDOW = 35
 ANCHOR = 12
-NO_ID = -(1 << 63)
-PATH = "doc_id bigint, first int, edges int, anchor bigint, h1 bigint, h2 bigint"
-EDGE = "doc_id bigint, first int, weight int, h1 bigint, h2 bigint"
+PATH = "row bigint, first int, edges int, anchor bigint, h1 bigint, h2 bigint"
+EDGE = "row bigint, first int, weight int, h1 bigint, h2 bigint"
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 
 
@@ -60,16 +59,16 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def work(batches):
         for part in K.slices(batches, "text"):
             rows = path_rows(K.Words(part.column("text")), window, anchor)
-            ids = part.column("doc_id").to_numpy()
+            ids = part.column("row").to_numpy()
             yield pa.RecordBatch.from_pydict({
-                "doc_id": ids[rows["owner"]], "first": rows["first"].astype(np.int32), "edges": rows["edges"].astype(np.int32),
+                "row": ids[rows["owner"]], "first": rows["first"].astype(np.int32), "edges": rows["edges"].astype(np.int32),
                 **{c: K.signed(rows[c].astype(np.uint64)) for c in ("anchor", "h1", "h2")}})
 
     return K.map_arrow(docs, work, PATH)
 
 
 def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
-    """One row per window of the paths to open; ``opened``: doc_id, list of (first, edges, weight)."""
+    """One row per window of the paths to open; ``opened``: row, list of (first, edges, weight)."""
 
     def work(batches):
         for part in K.slices(batches, "text"):
@@ -81,6 +80,8 @@ def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
             owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
             first, edges, weight = (flat.field(i).to_numpy() for i in range(3))
+            inside = first + edges + window - 1 <= words.counts[owner]
+            owner, first, edges, weight = owner[inside], first[inside], edges[inside], weight[inside]
             row = np.repeat(np.arange(len(owner)), edges)
             if not len(row):
                 continue
@@ -88,29 +89,29 @@ def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
             at = first[row] + np.arange(len(row)) - begin[row]
             where = firsts[owner[row]] + at
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id").to_numpy()[owner[row]], "first": at.astype(np.int32), "weight": weight[row],
+                "row": part.column("row").to_numpy()[owner[row]], "first": at.astype(np.int32), "weight": weight[row],
                 "h1": K.signed(one.ranges(where, where + window)), "h2": K.signed(two.ranges(where, where + window))})
 
-    return K.map_arrow(docs.join(opened, "doc_id").select("doc_id", "text", "paths"), work, EDGE)
+    return K.map_arrow(docs.join(opened, "row").select("row", "text", "paths"), work, EDGE)
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, first, edges): stretches of consecutive windows that also start elsewhere.
+    """(row, first, edges): stretches of consecutive windows that also start elsewhere.
 
     Windows repeated only inside one document may be missing here; ``substring_dedup`` finds those document by document.
     """
     key = ["anchor", "h1", "h2"]
-    paths = cut_lineage(K.with_partner(_paths(docs, window, anchor), "anchor", "doc_id", "first"), "paths")
-    kinds = paths.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("shown"))
+    paths = cut_lineage(K.with_partner(_paths(docs, window, anchor), "anchor", "row", "first"), "paths")
+    kinds = paths.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("shown"))
     branching = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
     known = kinds.join(branching, "anchor").select(*key, "n", "shown", (F.col("kinds") > 1).alias("branches"))
-    found = paths.join(known, key).select("doc_id", "first", "edges", "n", "shown", "branches")
-    whole = found.where("n > 1").select("doc_id", "first", "edges")
-    opened = found.where("branches and (n = 1 or doc_id = shown)").groupBy("doc_id").agg(F.collect_list(F.struct(
+    found = paths.join(known, key).select("row", "first", "edges", "n", "shown", "branches")
+    whole = found.where("n > 1").select("row", "first", "edges")
+    opened = found.where("branches and (n = 1 or row = shown)").groupBy("row").agg(F.collect_set(F.struct(
         "first", "edges", F.when(F.col("n") > 1, 2).otherwise(1).cast("int").alias("weight"))).alias("paths"))
     edges = _edges(docs, opened, window)
     twice = edges.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
-    single = edges.where("weight = 1").join(twice, ["h1", "h2"]).select("doc_id", "first", F.lit(1).alias("edges"))
+    single = edges.where("weight = 1").join(twice, ["h1", "h2"]).select("row", "first", F.lit(1).alias("edges"))
     return whole.unionByName(single)
 
 
@@ -120,11 +121,12 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     A word goes when a window of ``window`` consecutive words that covers it also starts anywhere else, in another document or
     in the same; every occurrence is judged on the input, so all copies of a passage go. Equality is decided by 128 bits of
     hash over the words. NULL and empty texts have no words and keep ''. A text shorter than the window loses nothing. Rows
-    that share an id count as separate occurrences, but a stretch found for the id is removed from each of its rows; rows
-    without an id are taken as one such id. Columns other than doc_id and text are ignored.
+    are told apart by 64 bits of hash over id and text, so rows without an id or with one id are occurrences of their own; equal
+    rows are too, and their stretches are the same. Columns other than doc_id and text are ignored.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = repeated_ranges(docs, window, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("first", "edges")).alias("ranges"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    ranges = repeated_ranges(docs, window, anchor).groupBy("row").agg(F.collect_set(F.struct("first", "edges")).alias("ranges"))
 
     def cut(batches):
         for part in K.slices(batches, "text"):
@@ -136,7 +138,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
             owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
             first, edges = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            inside = first + edges + window - 1 <= words.counts[owner]  # rows that share an id may differ in length
+            inside = first + edges + window - 1 <= words.counts[owner]
             begin = (firsts[owner] + first)[inside]
             change = np.zeros(n + 1, np.int64)
             np.add.at(change, np.concatenate([at[local], begin]), 1)
@@ -151,8 +153,8 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
             raw[np.cumsum(length) - 1] = 32
             data, cuts = raw.tobytes(), np.concatenate([[0], np.cumsum(length)])[ranges_at].tolist()
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(part.column("doc_id").to_numpy(), mask=part.column("doc_id").to_numpy() == NO_ID),
+                "doc_id": part.column("doc_id"),
                 "n_words": words.counts, "n_removed": removed,
                 "kept": [data[a:max(a, b - 1)].decode() for a, b in zip(cuts, cuts[1:])]})
 
-    return K.map_arrow(docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges"), cut, RESULT)
+    return K.map_arrow(docs.join(ranges, "row", "left").select("doc_id", "text", "ranges"), cut, RESULT)
