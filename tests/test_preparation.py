@@ -41,6 +41,15 @@ def test_order_statistics_in_many_passes(spark, monkeypatch):
     assert [g[0] for g in got] == [min(values), sorted(values)[349], max(values)]
 
 
+@pytest.mark.parametrize("values", [[-2**63, 2**63 - 1], [-2**62, 2**62, 0, 0], [-2**63, -2**63, -1, 1, 2**63 - 2, 2**63 - 1, 2**63 - 1]])
+def test_order_statistics_at_both_ends_of_bigint(spark, monkeypatch, values):
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    every = list(range(1, len(values) + 1))
+    for slices in (4096, 2):
+        monkeypatch.setattr(ranks, "SLICES", slices)
+        assert [g[0] for g in ranks.order_statistics(df, F.col("v"), lambda n: every)] == sorted(values)
+
+
 def test_cut_breaks_ties_by_the_next_column(spark):
     df = spark.createDataFrame([(1, 5), (1, 3), (1, 4), (2, 1), (0, 9)], "a long, b long")
     order = [F.col("a"), F.col("b")]
