@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayloom.llm import (
-    bpe, decontaminate, host_reputation, jaccard_join, language_id, line_dedup, quality_model, quality_rules, substring_dedup, warc,
+    bpe, decontaminate, host_reputation, jaccard_join, language_id, line_dedup, quality_model, quality_rules, substring_dedup,
+    table_clustering, warc,
 )
 from stayloom.session import stage_path, tune
 
@@ -98,3 +99,9 @@ def op9(spark, folder):
 @query("op10_parity_sketch_jaccard")
 def op10(spark, folder):
     return jaccard_join.jaccard_groups(table(spark, folder, "documents"))
+
+
+@query("op11_table_centroid_clustering", table_clustering.sql())
+def op11(spark, folder):
+    clustered = table_clustering.cluster_vectors(table(spark, folder, "embeddings"))
+    return clustered.withColumn("centroid", table_clustering.centroid_digest(F.col("centroid"))).withColumnRenamed("centroid", "centroid_sha256")
