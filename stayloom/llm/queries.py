@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stayloom.llm import (
     bpe, decontaminate, host_reputation, jaccard_join, language_id, line_dedup, quality_model, quality_rules, substring_dedup,
-    table_clustering, warc,
+    suffix_dedup, table_clustering, warc,
 )
 from stayloom.session import stage_path, tune
 
@@ -105,3 +105,9 @@ def op10(spark, folder):
 def op11(spark, folder):
     clustered = table_clustering.cluster_vectors(table(spark, folder, "embeddings"))
     return clustered.withColumn("centroid", table_clustering.centroid_digest(F.col("centroid"))).withColumnRenamed("centroid", "centroid_sha256")
+
+
+@query("op13_suffix_array_dedup")
+def op13(spark, folder):
+    kept = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
