@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayloom.llm import (
-    bpe, decontaminate, host_reputation, jaccard_join, language_id, line_dedup, quality_model, quality_rules, substring_dedup,
-    suffix_dedup, table_clustering, warc,
+    bpe, conversation_repair, decontaminate, host_reputation, jaccard_join, language_id, line_dedup, quality_model, quality_rules,
+    substring_dedup, suffix_dedup, table_clustering, warc,
 )
 from stayloom.session import stage_path, tune
 
@@ -107,6 +107,12 @@ def op11(spark, folder):
     return clustered.withColumn("centroid", table_clustering.centroid_digest(F.col("centroid"))).withColumnRenamed("centroid", "centroid_sha256")
 
 
+@query("op12_grammar_conversation_repair", conversation_repair.SQL)
+def op12(spark, folder):
+    damaged = conversation_repair.damage(table(spark, folder, "conversations"))
+    return conversation_repair.repair_conversations(damaged).conversations()
+
+
 @query("op13_suffix_array_dedup")
 def op13(spark, folder):
     kept = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
