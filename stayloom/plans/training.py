@@ -105,9 +105,7 @@ def select_features(wide: DataFrame, cfg: TrainingConfig = TrainingConfig(), *,
     columns = column_range(coded.columns, first, last, allowed)
     rows = filter_target_cohort(filter_complete_rows(coded, columns, cfg.completeness), cfg.target)
     rows = cut_lineage(rows.select(cfg.key, *columns, F.col(cfg.target).cast("double").alias(cfg.target)), "selection")
-    return stable_features(
-        rows, columns, cfg.target, key=cfg.key, seeds=seeds, top=top,
-        impute=lambda df, seed: iterative_impute(df, columns, key=cfg.key, max_iter=cfg.max_iter, tol=cfg.tol, seed=seed))
+    return stable_features(rows, columns, cfg.target, key=cfg.key, seeds=seeds, top=top, max_iter=cfg.max_iter, tol=cfg.tol)
 
 
 @dataclass

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stayloom.operators import classify, evaluate, impute, match, select
+from stayloom.operators import classify, evaluate, impute, match, neighbours, select
 from stayloom.operators.moments import group_moments
 from stayloom.operators.neighbours import k_nearest, knn_classify
 
@@ -187,8 +187,8 @@ def test_propensity_modes(spark):
 
 # --- neighbours ---------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("blocks, pivots", [(8192, 20_000), (16, 40), (7, 9)])
-def test_neighbours_equal_brute_force(spark, blocks, pivots):
+@pytest.mark.parametrize("blocks, cells", [(8192, 2048), (16, 40), (7, 9)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, blocks, cells):
     rng = np.random.default_rng(blocks)
     x = np.round(rng.normal(size=(260, 3)), 1)
     x[:90] = x[0]  # a third of the rows are copies
@@ -198,13 +198,16 @@ def test_neighbours_equal_brute_force(spark, blocks, pivots):
     train = frame(spark, np.column_stack([x, y]), ["a", "b", "c", "y"])
     asked = frame(spark, q, ["a", "b", "c"], start=10_000)
     k = 9
-    got = k_nearest(train, asked, features=["a", "b", "c"], key="id", label="y", k=k, block_rows=blocks, rows_per_pivot=pivots)
+    search, sizes = neighbours._search, []
+    monkeypatch.setattr(neighbours, "_search", lambda leaves, *rest: (sizes.extend(r[1] for r in leaves.groupBy("cell").count().collect()), search(leaves, *rest))[1])
+    got = k_nearest(train, asked, features=["a", "b", "c"], key="id", label="y", k=k, block_rows=blocks, cell_rows=cells)
     found = {}
     for r in got.collect():
         found.setdefault(r["query_key"], []).append((r["distance"], r["key"]))
     for i, row in enumerate(q):
         d = [(float(sum((row[j] - x[n][j]) ** 2 for j in range(3))), n) for n in range(260)]
         assert sorted(n for _, n in found[10_000 + i]) == sorted(n for _, n in sorted(d)[:k])
+    assert sum(sizes) == 260 and max(sizes) <= cells
 
 
 def test_tied_vote_is_class_zero(spark):
@@ -273,3 +276,122 @@ def test_boosting_equals_its_definition(spark):
     assert got[0.0] == pytest.approx(low) and got[1.0] == pytest.approx(high)
     flat = fit_boosted_trees(df, "y", trees=1, depth=1, absolute=1000)
     assert {round(r["s"], 12) for r in flat.score(df, "s").collect()} == {0.4}
+
+
+def plain_tree(x, residual, columns, depth, absolute, quadratic):
+    """The penalised greedy tree by trying every threshold; returns the value of each row and the splits made."""
+    from stayloom.operators.boosting import LEAST_GAIN, penalised_value
+
+    def part(r):
+        return max(abs(r.sum()) - absolute, 0.0) ** 2 / (len(r) + quadratic)
+
+    def grow(rows, level):
+        r, best = residual[rows], None
+        for c in columns if level < depth else ():
+            values = np.unique(x[rows, c])
+            for t in (values[:-1] + values[1:]) / 2:
+                left = x[rows, c] <= t
+                gain = 0.5 * (part(r[left]) + part(r[~left]) - part(r))
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, c, left)
+        if best is None or best[0] <= LEAST_GAIN:
+            out[rows] = penalised_value(r.sum(), len(rows), absolute, quadratic)
+            return 0
+        return 1 + grow(rows[best[2]], level + 1) + grow(rows[~best[2]], level + 1)
+
+    out = np.zeros(len(x))
+    return out, grow(np.arange(len(x)), 0)
+
+
+@pytest.mark.parametrize("absolute, quadratic, share", [(0.0, 0.0, 1.0), (3.0, 1.0, 1.0), (2.0, 5.0, 0.5)])
+def test_boosting_splits_by_the_penalised_gain(spark, absolute, quadratic, share):
+    from stayloom.operators.boosting import fit_boosted_trees
+
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 40, 400), rng.normal(size=400).round(1), rng.integers(0, 2, 400), np.full(400, 3.0)]).astype(float)
+    y = (x[:, 0] > 25) * 2.0 + (x[:, 1] > 0.3) * x[:, 2] * 3 + rng.normal(size=400)
+    df = classify.assemble_features(spark.createDataFrame(
+        [(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y double").repartition(5),
+        list("abcd"), label="y", key="id")
+    model = fit_boosted_trees(df, "y", trees=4, depth=3, step=0.5, column_share=share, absolute=absolute, quadratic=quadratic, seed=2, write_every=2)
+    got = np.array([r["s"] for r in model.score(df, "s").orderBy("id").collect()])
+    draw, want = np.random.default_rng(2), np.full(400, y.mean())
+    splits = []
+    for _ in range(4):
+        columns = sorted(draw.choice(4, size=max(1, int(share * 4)), replace=False).tolist())
+        step, made = plain_tree(x, y - want, columns, 3, absolute, quadratic)
+        want = want + 0.5 * step
+        splits.append(made)
+    assert [int((t.column >= 0).sum()) for t in model.trees] == splits
+    assert np.allclose(got, want)
+
+
+def test_bins_of_columns_with_many_values(spark):
+    from stayloom.operators.boosting import column_cuts
+
+    df = classify.assemble_features(spark.range(5000).selectExpr("id", "cast(id as double) a", "cast(id % 7 as double) b", "1.0d c"), ["a", "b", "c"], key="id")
+    many, few, one = column_cuts(df, 3)
+    assert 200 <= len(many) <= 255 and max(np.diff(many)) < 60
+    assert few.tolist() == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and len(one) == 0
+
+
+def one_column_at_a_time(spark, df, columns, *, max_iter, tol, nearest, seed):
+    """Imputation by one regression after another over the whole table, with pandas."""
+    data = df.orderBy("id").toPandas()
+    raw = data[columns].to_numpy(dtype=float)
+    gap = np.isnan(raw)
+    means = np.nanmean(raw, axis=0)
+    state = np.where(gap, means, raw)
+    weights = np.nan_to_num(np.abs(np.corrcoef(state.T)))
+    order = sorted((c for c in range(len(columns)) if gap[:, c].any()), key=lambda c: gap[:, c].sum())
+    limit = tol * np.nanmax(np.abs(raw))
+    rng = None if seed is None else np.random.default_rng(seed)
+    for turn in range(max_iter):
+        before = state.copy()
+        for c in order:
+            chosen = impute._draw_predictors(weights, c, nearest, rng)
+            seen = ~gap[:, c]
+            x, y = state[seen][:, chosen], state[seen, c]
+            xc, yc = x - x.mean(0), y - y.mean()
+            coef = impute.bayesian_ridge(xc.T @ xc, xc.T @ yc, yc @ yc, len(y))
+            state[~seen, c] = y.mean() + (state[~seen][:, chosen] - x.mean(0)) @ coef
+        if np.abs(state - before).sum(axis=1).max() < limit:
+            return state, turn + 1
+    return state, max_iter
+
+
+@pytest.mark.parametrize("seed, nearest, tol", [(None, 3, 1e-3), (0, 3, 0.01), (5, 1, 1e-4), (2, 4, 0.1)])
+def test_levels_give_the_values_of_one_column_at_a_time(spark, holes, seed, nearest, tol):
+    df = frame(spark, holes[1], "abcde").repartition(3)
+    want, _ = one_column_at_a_time(spark, df, list("abcde"), max_iter=12, tol=tol, nearest=nearest, seed=seed)
+    out = impute.iterative_impute(df, list("abcde"), key="id", max_iter=12, tol=tol, nearest=nearest, seed=seed)
+    got = np.array([[r[c] for c in "abcde"] for r in out.orderBy("id").collect()], dtype=float)
+    np.testing.assert_allclose(got, want, rtol=1e-8, atol=1e-9)
+
+
+def test_levels_of_a_round():
+    weights = np.ones((5, 5))
+    plan = impute._round_equations(weights, [3, 1, 0], 4, None)
+    assert [(e.target, e.level) for e in plan] == [(3, 0), (1, 1), (0, 2)]
+    assert [dict(zip(e.predictors, e.fresh)).get(3) for e in plan] == [None, True, True]
+    sparse = np.eye(5)
+    sparse[[4, 2, 4], [3, 1, 0]] = 9
+    assert [(e.predictors, e.level) for e in impute._round_equations(sparse, [3, 1, 0], 1, None)] == [((4,), 0), ((2,), 0), ((4,), 0)]
+
+
+def test_runs_side_by_side_equal_single_runs(spark, holes):
+    label = (holes[0][:, 2] + holes[0][:, 4] > 0).astype(float)
+    df = frame(spark, np.column_stack([holes[1], label]), [*"abcde", "y"]).repartition(3).cache()
+    seeds = [0, 3, 7]
+    runs = impute.impute_runs(df, list("abcde"), key="id", seeds=seeds, max_iter=15, tol=0.1, nearest=2, also=["y"])
+    picks = []
+    for i, seed in enumerate(seeds):
+        single = impute.iterative_impute(df, list("abcde"), key="id", max_iter=15, tol=0.1, nearest=2, seed=seed)
+        a, b = ([[r[c] for c in "abcde"] for r in d.orderBy("id").collect()] for d in (single, runs.complete(df, i)))
+        np.testing.assert_allclose(a, b, rtol=1e-8)
+        fit = select.lasso_cv(single, list("abcde"), "y", key="id")
+        picks += [(i, p, c) for p, c in enumerate(fit.selected(3))]
+    assert len(set(runs.rounds)) > 1  # runs end on their own
+    want = select.feature_vote(spark.createDataFrame(picks, "run int, pos int, feature string"), top=3, seen=F.col("run") * 1000 + F.col("pos"))
+    got = select.stable_features(df, list("abcde"), "y", key="id", seeds=seeds, top=3, max_iter=15, tol=0.1, nearest=2)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]

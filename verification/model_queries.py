@@ -115,9 +115,7 @@ def lasso_select(r: Roles) -> DataFrame:
 def lasso_vote(r: Roles) -> DataFrame:
     """Ten imputations with different predictor draws, one selection each, then the vote."""
     df = cut_lineage(r.features().select("id", *COLUMNS, "label"))
-    return select.stable_features(
-        df, COLUMNS, "label", key="id",
-        impute=lambda d, seed: impute.iterative_impute(d, COLUMNS, key="id", max_iter=100, tol=0.1, seed=seed))
+    return select.stable_features(df, COLUMNS, "label", key="id", max_iter=100, tol=0.1)
 
 
 KNN = {
