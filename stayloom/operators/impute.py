@@ -4,7 +4,7 @@ Every incomplete column is in turn regressed on a few other columns over the row
 cells are replaced by the prediction; rounds repeat until the largest row change is small. A column waits only for those
 of its predictors that come before it in the round, so the columns of a round fall into few levels, and one aggregate
 gives the regression sums of all columns of a level, for all seeds at once. Rows with gaps carry their filled cells, one set per
-seed, and the state is written once per round, which also cuts the lineage.
+seed. The state is written every few rounds, which also cuts the lineage; in between, tasks apply the rounds since then.
 """
 
 from __future__ import annotations
@@ -145,10 +145,26 @@ class _Rows:
 
 
 Fits = dict[int, dict[int, tuple[list[float], float]]]  # per seed and target the slopes and the intercept
+Round = tuple[dict[int, list[_Equation]], Fits]  # a whole round: the regressions of every run and what they gave
+WRITE_EVERY = 4
+
+
+def _caught_up(rows: _Rows, pending: Sequence[Round], seeds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The completed values of every run after the rounds since the state was written, and what the last round changed in
+    each row with gaps."""
+    values, moved = [], np.zeros((len(rows.holed), seeds))
+    for s in range(seeds):
+        new = rows.completed(s)
+        for plans, fits in pending:
+            if s in plans:
+                old, new = new, rows.solved(new, plans[s], fits[s])
+                moved[:, s] = np.abs(new - old)[rows.holed].sum(axis=1)
+        values.append(new)
+    return values, moved
 
 
-def _level_sums(state: DataFrame, plans: dict[int, list[_Equation]], fits: Fits, level: int, shift: np.ndarray, rows_of: Callable[[pa.RecordBatch], _Rows],
-                seeds: int, size: int) -> tuple[dict[tuple[int, int], np.ndarray], np.ndarray]:
+def _level_sums(state: DataFrame, pending: Sequence[Round], plans: dict[int, list[_Equation]], fits: Fits, level: int, shift: np.ndarray,
+                rows_of: Callable[[pa.RecordBatch], _Rows], seeds: int, size: int) -> tuple[dict[tuple[int, int], np.ndarray], np.ndarray]:
     """Cross products of (1, predictors, target) over the observed rows, per (seed, target) of the level, and per seed the
     largest change of the round before: one job."""
     i, j = np.triu_indices(size)
@@ -158,13 +174,13 @@ def _level_sums(state: DataFrame, plans: dict[int, list[_Equation]], fits: Fits,
         moved = np.zeros(seeds)
         for batch in batches:
             rows = rows_of(batch)
-            if len(rows.holed):
-                moved = np.maximum(moved, batch.column("moved").flatten().to_numpy(zero_copy_only=False).reshape(-1, seeds).max(axis=0))
+            values, change = _caught_up(rows, pending, seeds)
+            moved = np.maximum(moved, change.max(axis=0, initial=0.0))
             for s, plan in plans.items():
                 wanted = [e for e in plan if e.level == level]
                 if not wanted:
                     continue
-                old = rows.completed(s)
+                old = values[s]
                 new = rows.solved(old, plan, fits[s])
                 for e in wanted:
                     seen = ~rows.missing[:, e.target]
@@ -229,8 +245,9 @@ class Imputed:
 
 
 def impute_runs(df: DataFrame, columns: Sequence[str], *, key: str, seeds: Sequence[int | None] = (0,), max_iter: int = 100, tol: float = 0.1,
-                nearest: int = 3, also: Sequence[str] = ()) -> Imputed:
-    """Impute ``columns`` once per seed, all runs side by side in one state (runs jobs: one per level and round, and a write).
+                nearest: int = 3, also: Sequence[str] = (), write_every: int = WRITE_EVERY) -> Imputed:
+    """Impute ``columns`` once per seed, all runs side by side in one state (runs jobs: one per level and round, and a
+    write every ``write_every`` rounds).
 
     ``nearest`` predictors are drawn per column and round with weights given by their correlation, from the seed; with
     seed None the most correlated ones are always taken. Columns with the fewest gaps go first. A run whose largest row
@@ -254,8 +271,7 @@ def impute_runs(df: DataFrame, columns: Sequence[str], *, key: str, seeds: Seque
     holed = F.greatest(*[F.col(names[c]).isNull() for c in gaps], F.lit(False), F.lit(False))
     x = F.array(*[F.coalesce(F.col(c), F.lit(float("nan"))) for c in names])
     rounds = LoopState("impute")
-    state = rounds.advance(values.select(key, *also, x.alias("x"), F.when(holed, start).otherwise(none).alias("fills"),
-                                         F.when(holed, F.array_repeat(F.lit(float("inf")), runs)).otherwise(none).alias("moved")))
+    state = rounds.advance(values.select(key, *also, x.alias("x"), F.when(holed, start).otherwise(none).alias("fills")))
     out = Imputed(state, key, names, gaps, list(seeds), [0] * runs)
     if not gaps:
         return out
@@ -264,21 +280,28 @@ def impute_runs(df: DataFrame, columns: Sequence[str], *, key: str, seeds: Seque
     draws = [None if seed is None else np.random.default_rng(seed) for seed in seeds]
     size = min(nearest, len(names) - 1) + 2
     active = list(range(runs))
+    pending: list[Round] = []
     for turn in range(max_iter):
         plans = {s: _round_equations(weights, gaps, nearest, draws[s]) for s in active}
         fits: Fits = {s: {} for s in active}
         for level in range(1 + max(e.level for plan in plans.values() for e in plan)):
-            cross, moved = _level_sums(out.state, plans, fits, level, means, out.rows, runs, size)
-            if level == 0 and turn:
+            cross, moved = _level_sums(out.state, pending, plans, fits, level, means, out.rows, runs, size)
+            if level == 0 and turn:  # whether the round before was the last one of a run shows in the first pass of the next
                 active = [s for s in active if not moved[s] < limit]
                 plans = {s: plans[s] for s in active}
+                if len(pending) == write_every and active:
+                    out.state, pending = rounds.advance(_next_state(out.state, pending, out.rows, runs)), []
+            if not active:
+                break
             for s, plan in plans.items():
                 fits[s].update({e.target: _solve(cross[s, e.target], e, means) for e in plan if e.level == level})
-            if not active:
-                return out
-        out.state = rounds.advance(_next_state(out.state, plans, fits, out.rows, runs))
+        if not active:
+            break
+        pending.append((plans, {s: fits[s] for s in active}))
         for s in active:
             out.rounds[s] = turn + 1
+    if pending:
+        out.state = rounds.advance(_next_state(out.state, pending, out.rows, runs))
     return out
 
 
@@ -289,22 +312,16 @@ def _start_correlation(state: DataFrame, runs: Imputed, means: np.ndarray) -> np
     return group_moments(flat, runs.names, shift=means)[0].correlation()
 
 
-def _next_state(state: DataFrame, plans: dict[int, list[_Equation]], fits: Fits, rows_of: Callable[[pa.RecordBatch], _Rows], runs: int) -> DataFrame:
-    """The state after a round: new fills and, per run, the change of each row with gaps."""
+def _next_state(state: DataFrame, pending: Sequence[Round], rows_of: Callable[[pa.RecordBatch], _Rows], runs: int) -> DataFrame:
+    """The state with the pending rounds in its fills."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = rows_of(batch)
-            moved = np.zeros((len(rows.holed), runs))
-            for s, plan in plans.items():
-                old = rows.completed(s)
-                new = rows.solved(old, plan, fits[s])
-                moved[:, s] = np.abs(new - old)[rows.holed].sum(axis=1)
+            for s, new in enumerate(_caught_up(rows, pending, runs)[0]):
                 rows.fills[:, s] = new[np.ix_(rows.holed, rows.gaps)]
             has = np.zeros(batch.num_rows, np.int64)
             has[rows.holed] = 1
-            columns = dict(zip(batch.schema.names, batch.columns))
-            columns["fills"] = _lists(rows.fills, has)
-            columns["moved"] = _lists(moved, has)
+            columns = {**dict(zip(batch.schema.names, batch.columns)), "fills": _lists(rows.fills, has)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return state.mapInArrow(work, state.schema)

@@ -303,8 +303,8 @@ def plain_tree(x, residual, columns, depth, absolute, quadratic):
     return out, grow(np.arange(len(x)), 0)
 
 
-@pytest.mark.parametrize("absolute, quadratic, share", [(0.0, 0.0, 1.0), (3.0, 1.0, 1.0), (2.0, 5.0, 0.5)])
-def test_boosting_splits_by_the_penalised_gain(spark, absolute, quadratic, share):
+@pytest.mark.parametrize("absolute, quadratic, share, finish", [(0.0, 0.0, 1.0, 10**6), (3.0, 1.0, 1.0, 0), (2.0, 5.0, 0.5, 150)])
+def test_boosting_splits_by_the_penalised_gain(spark, absolute, quadratic, share, finish):
     from stayloom.operators.boosting import fit_boosted_trees
 
     rng = np.random.default_rng(7)
@@ -313,7 +313,7 @@ def test_boosting_splits_by_the_penalised_gain(spark, absolute, quadratic, share
     df = classify.assemble_features(spark.createDataFrame(
         [(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y double").repartition(5),
         list("abcd"), label="y", key="id")
-    model = fit_boosted_trees(df, "y", trees=4, depth=3, step=0.5, column_share=share, absolute=absolute, quadratic=quadratic, seed=2, write_every=2)
+    model = fit_boosted_trees(df, "y", trees=4, depth=3, step=0.5, column_share=share, absolute=absolute, quadratic=quadratic, seed=2, write_every=2, finish_rows=finish)
     got = np.array([r["s"] for r in model.score(df, "s").orderBy("id").collect()])
     draw, want = np.random.default_rng(2), np.full(400, y.mean())
     splits = []
