@@ -395,3 +395,64 @@ def test_runs_side_by_side_equal_single_runs(spark, holes):
     want = select.feature_vote(spark.createDataFrame(picks, "run int, pos int, feature string"), top=3, seen=F.col("run") * 1000 + F.col("pos"))
     got = select.stable_features(df, list("abcde"), "y", key="id", seeds=seeds, top=3, max_iter=15, tol=0.1, nearest=2)
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
+# --- trees --------------------------------------------------------------------------------------------------------
+
+def plain_class_tree(x, y, order, rows=None):
+    """Prediction function of the Gini tree grown by trying every threshold of every column."""
+    rows = np.arange(len(x)) if rows is None else rows
+    counts = np.bincount(y[rows], minlength=y.max() + 1)
+    best = None
+    for c in order if (counts > 0).sum() > 1 else ():
+        values = np.unique(x[rows, c])
+        for t in (values[:-1] + values[1:]) / 2:
+            left = x[rows, c] <= t
+            score = sum((np.bincount(y[rows[s]]) ** 2).sum() / s.sum() for s in (left, ~left))
+            if best is None or score > best[0] * (1 + 1e-12):
+                best = (score, c, t, left)
+    if best is None:
+        return lambda q: counts.argmax()
+    _, c, t, left = best
+    low, high = plain_class_tree(x, y, order, rows[left]), plain_class_tree(x, y, order, rows[~left])
+    return lambda q: (low if q[c] <= t else high)(q)
+
+
+def test_tree_equals_brute_force(spark):
+    from stayloom.operators.trees import fit_tree
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    x[:, 2] = rng.integers(0, 3, 300)
+    x[:20] = x[0]  # equal rows of several classes
+    y = ((x[:, 0] > 0).astype(int) + (rng.random(300) < 0.3)) * 5
+    df = frame(spark, np.column_stack([x, y]), ["a", "b", "c", "y"]).repartition(4)
+    asked = np.round(rng.normal(size=(80, 3)), 1)
+    model = fit_tree(df, ["a", "b", "c"], "y", seed=3)
+    got = {r["id"]: r["prediction"] for r in model.predict(frame(spark, np.vstack([x, asked]), ["a", "b", "c"]), ["a", "b", "c"], "id", blocks=3).collect()}
+    plain = plain_class_tree(x, y // 5, np.random.default_rng(3).permutation(3).tolist())
+    assert [got[i] for i in range(380)] == [5.0 * plain(q) for q in np.vstack([x, asked])]
+
+
+def test_tree_split_by_counts_above_and_values_below(spark):
+    from stayloom.operators.trees import fit_tree
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 50, (600, 2)).astype(float)
+    y = ((x[:, 0] + x[:, 1]) % 7 < 3).astype(float)
+    df = frame(spark, np.column_stack([x, y]), ["a", "b", "y"]).repartition(3)
+    model = fit_tree(df, ["a", "b"], "y", finish_cells=150)
+    assert len(model.top.column) > 7 and model.subtrees.count() == model.top.column.count(-1)
+    got = {r["id"]: r["prediction"] for r in model.predict(df, ["a", "b"], "id").collect()}
+    assert all(got[i] == y[i] for i in range(600))  # labels follow from the values, so a tree of any depth fits every row
+
+
+def test_deep_tree(spark):
+    """A chain: each split parts one row, deeper than any fixed limit."""
+    from stayloom.operators.trees import grow, walk
+
+    n = 120
+    x = np.arange(n, dtype=float)[:, None]
+    y = np.arange(n) % 2
+    column, threshold, child, majority = grow(x, y, 2, [0])
+    assert (majority[walk(x, column, threshold, child)] == y).all() and (column >= 0).sum() == n - 1
