@@ -228,7 +228,7 @@ def separable(spark):
 
 
 @pytest.mark.parametrize("name, options", [("knn_model", {}), ("xgb_model", {}), ("svm_model", {}), ("tree_model", {}),
-                                           ("dnn_model", {"max_iter": 60})])
+                                           ("dnn_model", {"steps": 40, "rate": 0.05})])
 def test_models_beat_the_majority(spark, separable, name, options):
     train, verify = separable
     predicted = classify.MODELS[name](train, verify, features=["a", "b"], label="y", key="id", **options)
@@ -456,3 +456,88 @@ def test_deep_tree(spark):
     y = np.arange(n) % 2
     column, threshold, child, majority = grow(x, y, 2, [0])
     assert (majority[walk(x, column, threshold, child)] == y).all() and (column >= 0).sum() == n - 1
+
+
+# --- kernel machine and network -------------------------------------------------------------------------------------
+
+def test_landmarks_bound_every_kernel_value(spark):
+    from stayloom.operators.kernel import find_landmarks, rbf
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 3))
+    x[:30] = x[0]
+    df = frame(spark, x, "abc").repartition(3)
+    ranks = []
+    for error in (0.3, 0.05, 1e-6):
+        marks, worst = find_landmarks(df, list("abc"), 0.4, error=error, candidates=16)
+        mapped = marks.features(x)
+        assert worst <= error and np.abs(rbf(x, x, 0.4) - mapped @ mapped.T).max() <= error + 1e-6
+        ranks.append(len(marks.rows))
+    assert ranks[0] < ranks[1] < ranks[2] <= 211
+
+
+def exact_machine(x, y, gamma, cost, rounds=4000):
+    """Decision function of the hinge-loss machine on the exact kernel, by coordinate ascent on pairs of its dual."""
+    from stayloom.operators.kernel import rbf
+
+    k, s = rbf(x, x, gamma), np.where(y > 0, 1.0, -1.0)
+    alpha, gradient = np.zeros(len(y)), -np.ones(len(y))
+    for _ in range(rounds):
+        up, low = ((alpha < cost) & (s > 0)) | ((alpha > 0) & (s < 0)), ((alpha < cost) & (s < 0)) | ((alpha > 0) & (s > 0))
+        i, j = np.where(up)[0][np.argmax(-(s * gradient)[up])], np.where(low)[0][np.argmin(-(s * gradient)[low])]
+        gap = -s[i] * gradient[i] + s[j] * gradient[j]
+        if gap < 1e-4:
+            break
+        step = gap / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        step = min(step, cost - alpha[i] if s[i] > 0 else alpha[i], alpha[j] if s[j] > 0 else cost - alpha[j])
+        for n, d in ((i, step * s[i]), (j, -step * s[j])):
+            alpha[n] += d
+            gradient += d * s[n] * s * k[:, n]
+    b = -(s * gradient)[i] / 2 - (s * gradient)[j] / 2
+    return lambda q: rbf(q, x, gamma) @ (alpha * s) + b
+
+
+def test_kernel_machine_agrees_with_the_exact_one(spark, separable):
+    train, verify = separable
+    a, b = (np.array([[r["a"], r["b"], r["y"]] for r in d.orderBy("id").collect()]) for d in separable)
+    want = exact_machine(a[:, :2], a[:, 2], 0.5, 1.0)(b[:, :2]) > 0
+    for error, least in ((0.05, 0.96), (0.001, 0.98)):
+        found = classify.fit_predict_svm(train, verify, features=["a", "b"], label="y", key="id", gamma=0.5, kernel_error=error)
+        got = np.array([r["prediction"] for r in found.orderBy("id").collect()])
+        assert (got == want).mean() >= least
+
+
+def test_network_gradient_is_that_of_its_loss():
+    from stayloom.operators.network import Network, _masks
+
+    rng = np.random.default_rng(3)
+    net = Network.start(4, 2, (5, 4, 3), (False, True, True, False), 1)
+    x, target = rng.normal(size=(20, 4)), rng.integers(0, 2, (20, 2)).astype(float)
+    masks = _masks(np.arange(20), net, 0.3, 5)
+    assert masks[0] is None and 0 < (masks[1] == 0).mean() < 0.7
+    loss, gradient = net.gradient(x, target, masks)
+    for w, g in zip(net.weights, gradient):
+        for at in [(0, 0), (w.shape[0] - 1, w.shape[1] - 1), (1, 1)]:
+            w[at] += 1e-6
+            more = net.gradient(x, target, masks)[0]
+            w[at] -= 2e-6
+            less = net.gradient(x, target, masks)[0]
+            w[at] += 1e-6
+            assert g[at] == pytest.approx((more - less) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_network_steps_are_full_batch(spark):
+    from stayloom.operators.network import Adam, Network, fit_network
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)) * [1, 100, 0.01]
+    y = (x[:, 0] > 0).astype(float)
+    df = frame(spark, np.column_stack([x, y]), list("abcy")).repartition(4)
+    net = fit_network(df, list("abc"), "y", key="id", steps=3, rate=0.01, dropped=0.0, seed=4)
+    plain = Network.start(3, 2, (96, 64, 16), (False, True, True, False), 4)
+    plain.mean, plain.scale = x.mean(axis=0), x.std(axis=0)
+    adam, target = Adam(plain.weights, 0.01), np.column_stack([y, 1 - y])
+    for _ in range(3):
+        adam.step(plain.weights, plain.gradient(x, target)[1])
+    for a, b in zip(net.weights, plain.weights):
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
