@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stayloom.llm import textkit as K
 
 LONG_PIECE = 512
-REMEMBERED = 200_000
+REMEMBERED, HELD_CHARACTERS = 200_000, 1 << 24
 ENCODE_SLICE = 1 << 20
 MARK = "\0special "  # no piece of the pattern holds both a control character and letters
 # The split pattern of the public byte-level vocabulary.
@@ -70,6 +70,8 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.exact: dict[bytes, list[int]] = {}
+        self.rows: dict[str, int] = {}
+        self.held = 0
         self._trie(tokens, spec["plain"])
         self._spines(spec["merges"])
         self._self_stable(tokens, spec["plain"])
@@ -118,6 +120,7 @@ class Codec:
         keys = np.array([a * self.size + b for a, b, _ in merges], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], order
+        self.pair_new = np.array([new for _, _, new in merges], np.int64)[order]
 
     def _self_stable(self, tokens, plain) -> None:
         self.stable = np.zeros(self.size, bool)
@@ -158,6 +161,30 @@ class Codec:
         self.exact[piece] = out
         return out
 
+    def merged_together(self, raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, token) of exact merging of many pieces: each round, every piece makes the leftmost merge of its lowest rank."""
+        ids, owner = self.byte_id[raw].astype(np.int64), np.repeat(np.arange(len(length)), length)
+        who, what = [], []
+        while len(ids):
+            key = np.where(owner[:-1] == owner[1:], ids[:-1] * self.size + ids[1:], -1)
+            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            at = np.flatnonzero(self.pair_keys[place] == key)
+            moving = np.zeros(len(length), bool)
+            moving[owner[at]] = True
+            here = moving[owner]
+            who.append(owner[~here])
+            what.append(ids[~here])
+            if not len(at):
+                break
+            first = np.flatnonzero(np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]]))
+            best = np.minimum.reduceat(self.pair_ranks[place[at]] << 32 | at, first) & 0xFFFFFFFF
+            ids[best] = self.pair_new[place[best]]
+            here[best + 1] = False
+            ids, owner = ids[here], owner[here]
+        who, what = np.concatenate(who or [np.zeros(0, np.int64)]), np.concatenate(what or [np.zeros(0, np.int64)])
+        order = np.argsort(who, kind="stable")
+        return who[order], what[order]
+
     def propose(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, token) of greedy longest matches, all pieces walking the trie in step; pieces in order."""
         at, piece, stop = starts.copy(), np.arange(len(starts)), ends
@@ -225,14 +252,31 @@ class Codec:
         failing[who[~self.stable[what]]] = True
         keep = ~failing[who]
         who, what = who[keep], what[keep]
-        exact = [(i, self.merged(pieces[i])) for i in np.flatnonzero(failing).tolist()]
-        if exact:
-            who = np.concatenate([who, np.repeat([i for i, _ in exact], [len(t) for _, t in exact])])
-            what = np.concatenate([what, np.array([t for _, ids in exact for t in ids], np.int64)])
+        exact = [(i, self.merged(pieces[i])) for i in np.flatnonzero(length > LONG_PIECE).tolist()]
+        again = np.flatnonzero(failing & (length <= LONG_PIECE))
+        if exact or len(again):
+            few, tokens = self.merged_together(np.frombuffer(b"".join([pieces[i] for i in again.tolist()]), np.uint8), length[again])
+            who = np.concatenate([who, again[few], np.repeat(np.array([i for i, _ in exact], np.int64), [len(t) for _, t in exact])])
+            what = np.concatenate([what, tokens, np.array([t for _, ids in exact for t in ids], np.int64)])
             order = np.argsort(who, kind="stable")
             who, what = who[order], what[order]
         return what, np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
 
+    def known_pieces(self, listed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each piece, ids, offsets): pieces are encoded once and kept until there are more than ``REMEMBERED``."""
+        fresh = [p for p in dict.fromkeys(listed) if p not in self.rows]
+        self.held += sum(map(len, fresh))
+        if len(self.rows) + len(fresh) > REMEMBERED or self.held > HELD_CHARACTERS or not self.rows:
+            self.held = sum(map(len, listed))
+            self.rows = {MARK + s: i for i, s in enumerate(self.special)}
+            self.ids, self.ids_at = np.array(list(self.special.values()), np.int64), np.arange(len(self.special) + 1)
+            fresh = [p for p in dict.fromkeys(listed) if p not in self.rows]
+        if fresh:
+            flat, offsets = self.encode_pieces([p.encode() for p in fresh])
+            self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
+            self.ids, self.ids_at = np.concatenate([self.ids, flat]), np.concatenate([self.ids_at, self.ids_at[-1] + offsets[1:]])
+        return np.fromiter(map(self.rows.__getitem__, listed), np.int64, len(listed)), self.ids, self.ids_at
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of whole texts; NULL is empty."""
         listed: list[str] = []
@@ -247,17 +291,7 @@ class Codec:
                     else:
                         listed += self.pattern.findall(part)
             sizes.append(len(listed) - before)
-        number = {p: i for i, p in enumerate(dict.fromkeys(listed))}
-        codes = np.fromiter(map(number.__getitem__, listed), np.int64, len(listed))
-        special = {number[MARK + s]: t for s, t in self.special.items() if MARK + s in number}
-        pieces = [b"" if i in special else p.encode() for p, i in number.items()]
-        flat, offsets = self.encode_pieces(pieces) if pieces else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        if special:
-            extra = np.array(list(special.values()), np.int64)
-            room = np.zeros(len(pieces), np.int64)
-            room[list(special)] = 1
-            flat = np.insert(flat, offsets[list(special)], extra)
-            offsets = offsets + np.concatenate([[0], np.cumsum(room)])
+        codes, flat, offsets = self.known_pieces(listed)
         ids, place = K.gather(flat, offsets, codes)
         return ids.astype(np.int32), place[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
 
