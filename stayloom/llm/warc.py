@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayloom.llm import textkit as K
+from stayloom.session import cut_lineage
 
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
@@ -82,6 +83,11 @@ def unchunked(data: bytes) -> bytes | None:
         at += size + 2
 
 
+def escaped(value: str) -> str:
+    """A header value that ends no line and holds no version mark, so that none can pass for the start of a record."""
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").replace(VERSION, f"%{ord(VERSION[0]):02X}{VERSION[1:]}")
+
+
 def record_texts(page_id, url, payload: bytes, sha1: str, keeper, keeper_sha1: str, tag: str, segment: int) -> list[str]:
     """The records of one page: a revisit, or a response and its continuations."""
     revisit = keeper is not None and keeper != page_id
@@ -97,7 +103,7 @@ def record_texts(page_id, url, payload: bytes, sha1: str, keeper, keeper_sha1: s
         if page_id is not None:
             head.append(("X-Page-Id", str(page_id)))
         if url is not None:
-            head.append(("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")))
+            head.append(("WARC-Target-URI", escaped(url)))
         if first:
             head.append(("WARC-Payload-Digest", "sha1:" + digest))
         if first and revisit:
@@ -124,10 +130,9 @@ def write_warc(pages: DataFrame, path: str, *, revisit_bytes: int = REVISIT_BYTE
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
                         F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.sha2(html, 256).alias("content"), F.octet_length(html).alias("size"))
-    large = rows.where(F.col("size") >= revisit_bytes)
-    keepers = large.groupBy("content", "size").agg(F.max("page_id").alias("keeper"))
-    known = large.join(keepers, ["content", "size"])
-    small = rows.where(F.col("size") < revisit_bytes).withColumn("keeper", F.lit(None).cast("bigint"))
+    groups = rows.where(F.col("size") >= revisit_bytes).groupBy("content", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(groups.where("n > 1").drop("n"), "repeated")  # its size on disk decides whether it is broadcast
+    known = rows.join(repeated, ["content", "size"], "left")
     names = ["page_id", "url", "html", "sha1", "keeper"]
 
     def write(batches):
@@ -140,7 +145,7 @@ def write_warc(pages: DataFrame, path: str, *, revisit_bytes: int = REVISIT_BYTE
                 done += 1
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    records = K.map_arrow(known.select(*names).unionByName(small.select(*names)), write, "value string")
+    records = K.map_arrow(known.select(*names), write, "value string")
     records.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
@@ -199,16 +204,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], k) for n, k in kinds.items()})
 
     lines = spark.read.schema("value string").option("lineSep", SEPARATOR).text(path)
-    pieces = K.map_arrow(lines, parse, PIECES)
+    head = F.concat(F.lit("\r\n"), F.lower(F.substring_index("value", RECORD_END, 1)))
+    lines = lines.withColumn("segmented", F.contains(head, F.lit("\r\nwarc-segment-number: ")))
+    pieces, whole = (K.map_arrow(lines.where(F.col("segmented") == s).select("value"), parse, PIECES) for s in (True, False))
     fields = ["number", "total", "kind", "page_id", "digest", "refers", "whole", "body", "origin"]
-    grouped = pieces.where("segmented").groupBy("origin", "row_tag").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
-    single = pieces.where("not segmented").select(F.array(F.struct(*fields)).alias("pieces"))
+    grouped = pieces.groupBy("origin", "row_tag").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
+    single = whole.select(F.array(F.struct(*fields)).alias("pieces"))
     return K.map_arrow(grouped.select("pieces").unionByName(single), join, RECORDS)
 
 
 def page_summary(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record; a revisit's come from its response."""
-    light = records.select("record_id", "page_id", "record_type", "digest", "refers", F.octet_length("payload").cast("bigint").alias("size"))
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record; a revisit's come from its response.
+
+    Without the payloads the records are written once, so that no archive is parsed again (runs a job).
+    """
+    light = cut_lineage(records.select("record_id", "page_id", "record_type", "digest", "refers", F.octet_length("payload").cast("bigint").alias("size")), "records")
     targets = light.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(
         F.first("page_id").alias("refers_to"), F.first("size").alias("full"))
     revisits = light.where("record_type = 'revisit'").join(targets, "refers", "left")
