@@ -44,7 +44,7 @@ def surface_counts(column: pa.Array) -> dict[str, np.ndarray]:
     filled = upto[ends] > upto[lines]
     lines, ends = lines[filled], ends[filled]
     line_owner = K.owners(lines, words.offsets)
-    key = K.mix(K.segment_hash(raw, lines, ends) + line_owner.astype(np.uint64) * np.uint64(K.SECOND_BASE))
+    key = K.mix(K.placed_hash(raw, lines, ends) + line_owner.astype(np.uint64) * np.uint64(K.SECOND_BASE))
     _, first = np.unique(key, return_index=True)
     again = np.ones(len(key), np.int64)
     again[first] = 0

@@ -49,7 +49,7 @@ def path_rows(words: K.Words, window: int, anchor: int) -> dict[str, np.ndarray]
     stop = valid.copy()
     stop[:-1] &= ~valid[1:] | fresh[1:]
     start, end = np.flatnonzero(fresh), np.flatnonzero(stop) + 1
-    two = K.Rolling(K.mix(value ^ np.uint64(K.SECOND_BASE)), K.SECOND_BASE)
+    two = K.Rolling(words.second_hash(), K.SECOND_BASE)
     firsts = np.concatenate([[0], np.cumsum(words.counts)])
     return {"owner": owner[start], "first": start - firsts[owner[start]], "edges": end - start, "anchor": lowest[start],
             "h1": one.ranges(start, end + window - 1), "h2": two.ranges(start, end + window - 1)}
@@ -74,7 +74,7 @@ def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
         for part in K.slices(batches, "text"):
             words = K.Words(part.column("text"))
             value = words.hash
-            one, two = K.Rolling(value), K.Rolling(K.mix(value ^ np.uint64(K.SECOND_BASE)), K.SECOND_BASE)
+            one, two = K.Rolling(value), K.Rolling(words.second_hash(), K.SECOND_BASE)
             firsts = np.concatenate([[0], np.cumsum(words.counts)])
             lists = part.column("paths")
             owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -119,8 +119,8 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     """doc_id, n_words, n_removed and ``kept`` (the words left, joined by one space) for every row of ``docs``.
 
     A word goes when a window of ``window`` consecutive words that covers it also starts anywhere else, in another document or
-    in the same; every occurrence is judged on the input, so all copies of a passage go. Equality is decided by 128 bits of
-    hash over the words. NULL and empty texts have no words and keep ''. A text shorter than the window loses nothing. Rows
+    in the same; every occurrence is judged on the input, so all copies of a passage go. Equality is decided by two
+    64-bit hashes that are independent from the bytes on. NULL and empty texts have no words and keep ''. A text shorter than the window loses nothing. Rows
     are told apart by 64 bits of hash over id and text, so rows without an id or with one id are occurrences of their own; equal
     rows are too, and their stretches are the same. Columns other than doc_id and text are ignored.
     """

@@ -1,7 +1,8 @@
 """Words, runs and hashes of many texts at once, as numpy arrays over the bytes of an Arrow column.
 
-A batch of texts is one byte array with offsets, so no Python object is made per word. Hashes are polynomials modulo 2**64
-over the bytes (or over word hashes) with a final mix; they depend on content only, never on place, batch or process.
+A batch of texts is one byte array with offsets, so no Python object is made per word. Words and lines are hashed by a random
+value per place and byte, short runs of words by polynomials modulo 2**64 over those hashes (under which only sequences of 1,024
+words and more can meet by their order). Hashes depend on content only, never on place in a text, batch or process.
 """
 
 from __future__ import annotations
@@ -125,6 +126,34 @@ def segment_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 
+_PLACES = 64
+_tables: dict[int, np.ndarray] = {}
+
+
+def placed_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each byte range as a sum of random values, one per place and byte; ranges are not empty.
+
+    No relation between the values of two places exists, so no order of bytes, however regular, makes two ranges meet; two seeds
+    give independent hashes.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if seed not in _tables:
+        _tables[seed] = _placed(np.arange(_PLACES * 256, dtype=np.uint64), seed)
+    length = ends - starts
+    begin = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(begin, length)
+    cell = place << 8 | raw[np.repeat(starts, length) + place]
+    value = _tables[seed][np.minimum(cell, _PLACES * 256 - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    value[far] = _placed(cell[far].astype(np.uint64), seed)
+    return mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * np.uint64(GRAM_BASE))
+
+
+def _placed(cell: np.ndarray, seed: int) -> np.ndarray:
+    return mix(mix(cell * np.uint64(BYTE_BASE) + np.uint64(SECOND_BASE)) + np.uint64(seed * 0x9FB21C651E98DF25 & (1 << 64) - 1))
+
+
 class Rolling:
     """Prefix sums over a sequence of hashes: the hash of any range of it in constant time."""
 
@@ -180,16 +209,20 @@ def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
 class Words:
     """The words of a slice: byte ranges, hashes and the text each belongs to."""
 
-    def __init__(self, column: pa.Array, table: np.ndarray = WORD_BYTES, lower: bool = False, base: int = BYTE_BASE):
+    def __init__(self, column: pa.Array, table: np.ndarray = WORD_BYTES, lower: bool = False):
         raw, self.offsets = text_bytes(column)
         self.raw = UPPER[raw] if lower else raw
         self.mask = table[self.raw]
         self.starts, self.ends = runs(self.mask, self.offsets)
         self.owner = owners(self.starts, self.offsets)
-        self.hash = segment_hash(self.raw, self.starts, self.ends, base)
+        self.hash = placed_hash(self.raw, self.starts, self.ends)
         self.n_texts = len(column)
         self.counts = per_text(self.owner, self.n_texts)
 
+    def second_hash(self) -> np.ndarray:
+        """Another hash of the words, from their bytes on."""
+        return placed_hash(self.raw, self.starts, self.ends, 1)
+
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
