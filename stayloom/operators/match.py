@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayloom.functions.scalar import round_half_even
+from stayloom.operators.prepare import number_rows
 from stayloom.session import cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
@@ -21,24 +22,23 @@ def propensity_score(df: DataFrame, covariates: Sequence[str], treatment: str, *
     """Add the estimated probability of treatment (fits a model).
 
     L2-penalised logistic regression with unit penalty on the summed loss, no scaling, no penalty on the intercept.
-    ``label_mode="treated"`` models treated or not; ``"rounded_dose"`` models the half-even rounded dose as classes and
-    returns the probability of the second smallest class.
+    ``label_mode="treated"`` models treated or not; ``"rounded_dose"`` models the half-even rounded dose as classes, numbered
+    in order, and returns the probability of the second smallest class; a row without a dose is no row of the model.
     """
     if label_mode == "treated":
         labelled = df.withColumn("_label", (F.col(treatment) > 0).cast("double"))
     else:
         dose = round_half_even(F.col(treatment))
-        # One entry per class; the fitted model holds a coefficient row for each of them on the driver anyway.
-        classes = sorted(r[0] for r in df.select(dose).distinct().collect() if r[0] is not None)
-        position = F.array_position(F.array(*[F.lit(c) for c in classes]), dose) - 1
-        labelled = df.withColumn("_label", position.cast("double"))
+        classes = number_rows(df.select(dose.alias("_dose")).distinct().where("_dose is not null"), ["_dose"], "_label")
+        labelled = df.withColumn("_dose", dose).join(cut_lineage(classes, "classes"), "_dose", "left").withColumn("_label", F.col("_label").cast("double"))
     assembler = VectorAssembler(inputCols=list(covariates), outputCol="_features", handleInvalid="error")
     # Model input is written once: the optimiser passes over it many times.
     data = cut_lineage(assembler.transform(labelled.select(key, "_label", *covariates)).select(
         key, "_label", "_features"), "propensity")
-    n = data.count()
+    known = data.where("_label is not null")
+    n = known.count()
     model = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", regParam=1.0 / n,
-                               elasticNetParam=0.0, standardization=False, maxIter=100).fit(data)
+                               elasticNetParam=0.0, standardization=False, maxIter=100).fit(known)
     scores = model.transform(data).select(key, vector_to_array("_p")[1].alias(name))
     return df.join(scores, key)
 

@@ -19,14 +19,13 @@ from stayloom.functions.scalar import (
 from stayloom.operators.clean import latest_per_key, paired_ratio
 from stayloom.operators.wide import analyte_features
 from stayloom.plans import fixed_values as V
-from stayloom.sources.tables import update_column
 
 MEASURED = (*V.ANALYTES, V.RATIO_ANALYTE)
 
 
 def with_comorbidity_index(patients: DataFrame) -> DataFrame:
     """Set the comorbidity index to the sum of the comorbidity flags."""
-    return update_column(patients, "charlson_comorbidity_index_max", sum_flags(V.COMORBIDITY_FLAGS))
+    return patients.withColumn("charlson_comorbidity_index_max", sum_flags(V.COMORBIDITY_FLAGS))
 
 
 def latest_admissions(patients: DataFrame) -> DataFrame:

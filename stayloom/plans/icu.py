@@ -7,7 +7,8 @@ scan of the log, limited to cohort stays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ from stayloom.operators.wide import join_features, require_unique
 from stayloom.plans import fixed_values as V
 from stayloom.session import cut_lineage
 from stayloom.sources.tables import refresh_table
+from stayloom.sources.versions import Manifest, VersionedTables
 
 BY_STAY = ("subject_id", "stay_id")
 
@@ -217,6 +219,23 @@ class IcuStudy:
     def view_names() -> list[str]:
         return [*V.DAY_ITEM_VIEWS, *V.DAY_GROUP_VIEWS, *[f"self_{i}" for i in V.STAY_ITEMS], *VIEWS]
 
+    def refresh_all(self, store: VersionedTables, names: Sequence[str] | None = None) -> Manifest:
+        """Refresh the named views (all by default) as one new version of ``store``: readers see all of them or none.
+
+        The cohort, the lung collection and the wide row are written before the views that start from them, which read what
+        was written.
+        """
+        wanted = list(names or self.view_names())
+        study, batch = copy(self), store.batch()
+        order = [n for n in SHARED if n in wanted and n != WIDE_VIEW]
+        order += [n for n in wanted if n not in order and n not in AFTER_WIDE and n != WIDE_VIEW]
+        order += [n for n in wanted if n == WIDE_VIEW] + [n for n in wanted if n in AFTER_WIDE]
+        for name in order:
+            written = batch.write(name, study.view(name))
+            if name in SHARED:
+                study.__dict__[SHARED[name]] = written
+        return batch.commit()
+
     def materialize(self, name: str) -> DataFrame:
         """Fully refresh the view as a catalog table of the same name."""
         return refresh_table(self.view(name), name)
@@ -249,6 +268,11 @@ def _site_slice(s: IcuStudy) -> DataFrame:
     return C.flag_slice(s.wide_table.filter("sepsis"), sites, ~F.col("pulmonary"))
 
 
+WIDE_VIEW = "self_sepsis_20230822"
+# Views that others start from, and the frame of the study that each of them is.
+SHARED = {"self_collection": "cohort", "self_sepsis_ali_collection": "lung_collection", WIDE_VIEW: "wide_table"}
+AFTER_WIDE = ("self_icd_code_5x", "self_sepsis_ali_20230824")
+
 VIEWS: dict[str, Callable[[IcuStudy], DataFrame]] = {
     "self_collection_all": lambda s: C.collect_attributes(
         s.stays, s.t["sepsis3"], s.t["age"], s.t["charlson"],

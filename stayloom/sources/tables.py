@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from stayloom.session import delete_path
@@ -83,23 +83,28 @@ class StageStore:
 def refresh_table(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
     """Replace the named table by the result of ``df`` (full refresh).
 
-    Each refresh writes a new folder, under the warehouse unless ``location`` names one, before the name is switched; so
-    ``df`` may read the table it replaces, and a failed job leaves the old table in place. The folder of the version
-    before is removed last.
+    Each refresh writes a new folder, under the warehouse unless ``location`` names one, and makes a table of it before the
+    names are switched; so ``df`` may read the table it replaces, and a job or a switch that fails leaves the old table under its
+    name. The folder of the version before is removed last. ``VersionedTables`` switches many tables at once.
     """
     spark = df.sparkSession
     path = location or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    fresh, old = f"{name}_fresh_{uuid.uuid4().hex}", f"{name}_old_{uuid.uuid4().hex}"
+    spark.catalog.createTable(fresh, path=path, source="parquet", schema=df.schema)
     before = None
     if spark.catalog.tableExists(name):
         before = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
-        spark.sql(f"DROP TABLE {name}")
-    table = spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
-    if before and before.rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
-        delete_path(spark, before)
-    return table
-
-
-def update_column(df: DataFrame, column: str, value: Column) -> DataFrame:
-    """Set one column for every row; the new version of the table keeps the column order."""
-    return df.withColumn(column, value)
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    except Exception:
+        if before:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {fresh}")
+        raise
+    if before:
+        spark.sql(f"DROP TABLE {old}")
+        if before.rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
+            delete_path(spark, before)
+    return spark.table(name)

@@ -109,3 +109,15 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert os.path.isdir(path)
     second = rounds.advance(first.union(first))
     assert second.count() == 6 and not os.path.exists(path)
+
+
+def test_views_are_refreshed_as_one_version(study, spark, tmp_path):
+    from stayloom.sources.versions import VersionedTables
+
+    names = ["self_sepsis_ali", "self_sepsis_ali_collection", "self_icd_code_5x_counts", "self_collection", "self_death_ratio"]
+    store = VersionedTables(spark, str(tmp_path / "views"))
+    assert study.refresh_all(store, names).number == 1 and store.names() == sorted(names)
+    for name in names:
+        assert store[name].schema.names == study.view(name).columns
+        assert sorted(map(str, store[name].collect())) == sorted(map(str, study.view(name).collect()))
+    assert set(IcuStudy.view_names()) >= {"self_collection", "self_sepsis_ali_collection", "self_sepsis_20230822"}

@@ -137,3 +137,44 @@ def test_refreshed_table_lies_outside_the_scratch_folder(spark):
     place = spark.sql("DESCRIBE FORMATTED kept_table").where("col_name = 'Location'").first()["data_type"]
     assert scratch_dir(spark) not in place and spark.table("kept_table").count() == 5
     spark.sql("DROP TABLE kept_table")
+
+
+def test_versions_switch_together_and_fail_whole(spark, tmp_path):
+    from stayloom.sources.versions import CommitConflict, VersionedTables
+
+    store = VersionedTables(spark, str(tmp_path / "tables"))
+    assert store.names() == [] and store.manifest().number == 0
+    store.write({"a": spark.range(3).toDF("n"), "b": spark.range(2).toDF("m")})
+    doubled = store.update("a", "n", F.col("n") * 2)  # reads the table it replaces
+    assert sorted(r.n for r in doubled.collect()) == [0, 2, 4] and sorted(r.n for r in store.read("a", 1).collect()) == [0, 1, 2]
+    assert store.versions() == [1, 2] and store["b"].count() == 2
+
+    batch = store.batch()
+    batch.write("a", spark.range(9).toDF("n"))
+    with pytest.raises(Exception):
+        batch.write("b", spark.range(3).select(F.raise_error(F.lit("broken")).alias("m")))
+    assert store.manifest().number == 2 and store["a"].count() == 3  # nothing of a broken batch is seen
+
+    one, two, other = store.batch(), store.batch(), store.batch()
+    one.write("a", spark.range(1).toDF("n"))
+    two.write("a", spark.range(2).toDF("n"))
+    other.write("c", spark.range(4).toDF("k"))
+    one.commit()
+    with pytest.raises(CommitConflict):
+        two.commit()
+    assert other.commit().number == 4 and store["a"].count() == 1 and store.names() == ["a", "b", "c"]
+    gone = store.remove_before(4)
+    assert len(gone) == 2 and store.versions() == [4] and [store[n].count() for n in store.names()] == [1, 2, 4]
+    with pytest.raises(KeyError):
+        store.read("a", 1)
+
+
+def test_failed_refresh_keeps_the_old_table(spark, monkeypatch):
+    refresh_table(spark.range(3).toDF("n"), "kept_on_failure")
+    sql = type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, q, *a, **k: 1 / 0 if q.endswith("RENAME TO kept_on_failure") and "_fresh_" in q else sql(self, q, *a, **k))
+    with pytest.raises(ZeroDivisionError):
+        refresh_table(spark.range(5).toDF("n"), "kept_on_failure")
+    monkeypatch.undo()
+    assert spark.table("kept_on_failure").count() == 3
+    spark.sql("drop table kept_on_failure")

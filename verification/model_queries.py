@@ -80,6 +80,31 @@ def propensity_score(r: Roles) -> DataFrame:
     return match.propensity_score(dosed, COVARIATES, "per_day", key="id").select("id", "per_day", "propensity_score")
 
 
+PER_DAY = "select id, coalesce(dose / stay_day, 0) per_day from r_features"
+
+
+def dosed(r: Roles) -> DataFrame:
+    df = impute.mean_fill(r.features(), COVARIATES)
+    return df.withColumn("per_day", F.coalesce(F.col("dose") / F.col("stay_day"), F.lit(0.0)))
+
+
+@query("propensity_balance", "select count(*) filter (where per_day > 0) expected, count(*) n from doses", doses=PER_DAY)
+def propensity_balance(r: Roles) -> DataFrame:
+    """At the optimum the scores add up to the treated rows, since the intercept is free of the penalty."""
+    scores = match.propensity_score(dosed(r), COVARIATES, "per_day", key="id")
+    return scores.agg(F.round(F.sum("propensity_score")).cast("bigint").alias("expected"), F.count("*").alias("n"))
+
+
+@query("propensity_dose", """select count(*) filter (where place = 2) expected, count(*) n, max(place) classes
+    from (select dense_rank() over (order by round_even(per_day, 0)) place from doses)""", doses=PER_DAY)
+def propensity_dose(r: Roles) -> DataFrame:
+    """Rounded doses as classes: the probabilities of the second class add up to its rows."""
+    df = dosed(r)
+    scores = match.propensity_score(df, COVARIATES, "per_day", key="id", label_mode="rounded_dose")
+    return scores.agg(F.round(F.sum("propensity_score")).cast("bigint").alias("expected"), F.count("*").alias("n"),
+                      F.count_distinct(F.rint("per_day")).alias("classes"))
+
+
 SCORED = "select id, f5 / 500000 score, f1, dose from r_features"
 MATCHED = """select t.id treated_key, arg_min(c.id, row(abs(t.score - c.score), c.id)) control_key, any_value(t.score) score
     from (select * from scored where dose > 0) t, (select * from scored where dose is null) c group by t.id"""

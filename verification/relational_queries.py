@@ -13,7 +13,8 @@ from stayloom.operators.events import ADMISSION_KEYS, STAY_KEYS
 from stayloom.operators.select import feature_vote, label_correlations
 from stayloom.session import stage_path
 from stayloom.sources.roles import Roles
-from stayloom.sources.tables import StageStore, read_sheet, refresh_table, update_column, write_sheet
+from stayloom.sources.tables import StageStore, read_sheet, refresh_table, write_sheet
+from stayloom.sources.versions import VersionedTables
 from verification.registry import query, r8, r8_all
 
 CLICK = "itemid = 'click'"
@@ -63,8 +64,11 @@ def materialize_refresh(r: Roles) -> DataFrame:
            cast(renal_disease + mild_liver_disease + severe_liver_disease as double) charlson_comorbidity_index
     from r_comorb""")
 def update_column_query(r: Roles) -> DataFrame:
+    """The update writes a new version of the table, which is read back."""
+    store = VersionedTables(r.spark, stage_path(r.spark, "tables"))
+    store.write({"comorbidity": r.comorbidity()})
     flags = ["renal_disease", "mild_liver_disease", "severe_liver_disease"]
-    return update_column(r.comorbidity(), "charlson_comorbidity_index", S.sum_flags(flags))
+    return store.update("comorbidity", "charlson_comorbidity_index", S.sum_flags(flags))
 
 
 # --- projections ------------------------------------------------------------------------------------------------
