@@ -31,9 +31,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    groups = jaccard_join.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(groups, "doc_id", "left_anti").select(COLUMNS)
+    """The row with the smallest id (NULL last) of each group of near duplicates, and every row without words.
+
+    Rows are grouped, not ids: each gets a key of its own, written with it, so of rows that share an id only those whose texts
+    are in one group go, and of equal rows one stays.
+    """
+    rows = cut_lineage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("place")), "rows")
+    groups = jaccard_join.jaccard_groups(rows.select(F.col("place").alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("place"), F.col("component_id").alias("group")).join(rows.select("place", "doc_id"), "place")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = named.join(first.where("n > 1"), "group").where("place <> first.place").select("place")
+    return rows.join(cut_lineage(gone, "gone"), "place", "left_anti").select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each but the last written and read again; an empty table gives no rows."""
     docs = table(tune(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)
