@@ -7,9 +7,10 @@ very hot day is left to AQE's skew join, which can split it for the same reason.
 
 What that join emits is one pair per event and overlapping stay. Stays of one patient hardly overlap, but a key shared by
 many stays would multiply the log. Days with more than ``CROWDED`` windows of one key therefore take another exact way: the
-events of such a day are summed into nested blocks of 1, 2, 4, ... microseconds, and each window is covered by at most two
-blocks per level, so the work is ``levels x (events + windows)`` and never their product. Whether any day is crowded is
-found from the stays alone, the small side, by one aggregate job per call.
+events of such a day are summed into nested blocks of 1, 16, 256, ... microseconds, and each window is covered by at most thirty
+blocks per level, so the work is ``levels x (events + windows)`` and never their product. Both ways stand in one plan, which counts
+the windows of every day on the stays, the small side, sends each day one way, and adds up what comes from both in one aggregate.
+Where no day is crowded, AQE drops that branch when the counts are in.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayloom.session import cut_lineage
-
 Window = tuple[Column, Column]
 
 CROWDED = 64
-LEVELS = 37  # 2**37 microseconds are more than a day
+RADIX_BITS = 4
+LEVELS = 10  # 16**10 microseconds are more than a day
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -72,68 +72,56 @@ def windowed_aggregate(stays: DataFrame, events: DataFrame, *, rows: Sequence[st
     """Statistics of ``values`` per stay (its ``rows`` columns), per ``by`` column of the log, in each window.
 
     Columns are ``<window>_rows`` and ``<window>_<value>_{min,max,sum,n}``; groups without an event in any window are absent.
-    ``windows`` are expressions over ``stays``. Looks for crowded days first (a job over the stays).
+    ``windows`` are expressions over ``stays``. Days with more than ``crowded`` windows of one key go by nested blocks.
     """
     names = list(windows)
     lows = {f"_lo{i}": w[0] for i, w in enumerate(windows.values())}
     highs = {f"_hi{i}": w[1] for i, w in enumerate(windows.values())}
     base = stays.select(*dict.fromkeys([*rows, *keys]), *[c.alias(n) for n, c in {**lows, **highs}.items()])
     outer = (F.least(*lows), F.greatest(*highs)) if len(names) > 1 else (F.col("_lo0"), F.col("_hi0"))
-    spans = by_day(base, outer)
     log = events.select(*keys, *by, F.col(time).alias("_at"), *values).withColumn("_day", day_number(F.col("_at")))
-    cell = [*keys, "_day"]
-    full = spans.groupBy(*cell).count().filter(F.col("count") > crowded).select(*cell)
-    groups = [*rows, *by]
-    if not _any_crowded(full):
-        return _direct(spans, log, cell, groups, names, values)
-    full = cut_lineage(full, "crowded")
-    few = _direct(spans.join(full, cell, "left_anti"), log, cell, groups, names, values)
-    many = _nested(spans.join(full, cell, "left_semi"), log.join(full, cell, "left_semi"), cell, groups, by, names, values)
-    return few.unionByName(many).groupBy(*groups).agg(*_merged(names, values))
-
-
-_known_uncrowded: set[tuple[str, int]] = set()
+    cell, groups = [*keys, "_day"], [*rows, *by]
+    spans = by_day(base, outer)
+    crowd = spans.groupBy(*cell).agg((F.count("*") > crowded).alias("_crowded"))
+    spans = spans.join(crowd, cell)
+    # A key of the log's joins alone: they get exchanges of their own, which AQE can split where a day is hot, and which both share.
+    spread = F.xxhash64(*cell).alias("_spread")
+    spans, log, full = spans.select("*", spread), log.select("*", spread), crowd.where("_crowded").select(*cell, spread)
+    cell = [*cell, "_spread"]
+    few = _direct(spans.where("not _crowded"), log, cell, groups, names, values)
+    many = _nested(spans.where("_crowded"), log.join(full, cell, "left_semi"), cell, groups, by, names, values)
+    return few.unionByName(many).groupBy(*groups).agg(*_summed(names, values))
+
+
+def _summed(names: Sequence[str], values: Sequence[str]) -> list[Column]:
+    """Statistics per window of entries (``_rows`` and ``_<value>_{min,max,sum,n}``) that lie in it where ``_in<i>``."""
+    out = []
+    for i, w in enumerate(names):
+        def inside(name: str) -> Column:
+            return F.when(F.col(f"_in{i}"), F.col(name))
 
+        out.append(F.coalesce(F.sum(inside("_rows")), F.lit(0)).alias(f"{w}_rows"))
+        for v in values:
+            p = f"{w}_{v}"
+            out += [F.min(inside(f"_{v}_min")).alias(f"{p}_min"), F.max(inside(f"_{v}_max")).alias(f"{p}_max"),
+                    F.sum(inside(f"_{v}_sum")).alias(f"{p}_sum"), F.coalesce(F.sum(inside(f"_{v}_n")), F.lit(0)).alias(f"{p}_n")]
+    return out
 
-def _any_crowded(full: DataFrame) -> bool:
-    """Whether the frame of crowded days has a row.
 
-    A negative answer is remembered for the same stays, keys and windows in this application, so a study that aggregates many
-    tables over one set of stays asks once. Both ways are exact: a stale answer could cost time but no correctness.
-    """
-    question = (full.sparkSession.sparkContext.applicationId, full.semanticHash())
-    if question in _known_uncrowded:
-        return False
-    if full.isEmpty():
-        _known_uncrowded.add(question)
-        return False
-    return True
+def _entry_names(groups: Sequence[str], names: Sequence[str], values: Sequence[str]) -> list[str]:
+    stats = [f"_{v}_{k}" for v in values for k in ("min", "max", "sum", "n")]
+    return [*groups, *[f"_in{i}" for i in range(len(names))], "_rows", *stats]
 
 
 def _direct(spans: DataFrame, log: DataFrame, cell: Sequence[str], groups: Sequence[str], names: Sequence[str],
             values: Sequence[str]) -> DataFrame:
+    """One entry per event and window span it lies in."""
     at = F.col("_at")
     pairs = spans.join(log, list(cell)).filter(at.between(F.col("_low"), F.col("_high")))
-    out = []
-    for i, w in enumerate(names):
-        inside = at.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) if len(names) > 1 else None
-        out.append((F.count("*") if inside is None else F.count_if(inside)).alias(f"{w}_rows"))
-        for v in values:
-            shown = F.col(v) if inside is None else F.when(inside, F.col(v))
-            out += [F.min(shown).alias(f"{w}_{v}_min"), F.max(shown).alias(f"{w}_{v}_max"),
-                    F.sum(shown).alias(f"{w}_{v}_sum"), F.count(shown).alias(f"{w}_{v}_n")]
-    return pairs.groupBy(*groups).agg(*out)
-
-
-def _merged(names: Sequence[str], values: Sequence[str]) -> list[Column]:
-    out = []
-    for w in names:
-        out.append(F.sum(f"{w}_rows").alias(f"{w}_rows"))
-        for v in values:
-            p = f"{w}_{v}"
-            out += [F.min(f"{p}_min").alias(f"{p}_min"), F.max(f"{p}_max").alias(f"{p}_max"),
-                    F.sum(f"{p}_sum").alias(f"{p}_sum"), F.sum(f"{p}_n").alias(f"{p}_n")]
-    return out
+    inside = [at.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) if len(names) > 1 else F.lit(True) for i in range(len(names))]
+    stats = [c for v in values for c in (F.col(v).alias(f"_{v}_min"), F.col(v).alias(f"_{v}_max"), F.col(v).alias(f"_{v}_sum"),
+                                         F.col(v).isNotNull().cast("long").alias(f"_{v}_n"))]
+    return pairs.select(*groups, *[c.alias(f"_in{i}") for i, c in enumerate(inside)], F.lit(1).cast("long").alias("_rows"), *stats)
 
 
 def _shift(col: Column, level: Column) -> Column:
@@ -141,22 +129,30 @@ def _shift(col: Column, level: Column) -> Column:
 
 
 def _covering_blocks(start: Column, end: Column) -> Column:
-    """Blocks ``(level, block)`` that together cover ``[start, end)``: at most two per level."""
+    """Blocks ``(level, block)`` that together cover ``[start, end)`` once: at most 30 per level.
+
+    At each level these are the whole blocks inside, without those that a whole block of the next level holds.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def between(low: Column, high: Column) -> Column:
+        return F.when(low < high, F.sequence(low, high - 1)).otherwise(none)
 
     def at(level: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-        first, last = _shift(start + size - 1, level), _shift(end, level)
-        odd_first = F.when((first < last) & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block")))
-        odd_last = F.when((first < last) & (last % 2 == 1), F.struct(level.alias("level"), (last - 1).alias("block")))
-        return F.array(odd_first, odd_last)
+        bits = level * RADIX_BITS
+        first = _shift(start + F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1, bits)
+        last = _shift(end, bits)
+        up, down = _shift(first + (1 << RADIX_BITS) - 1, F.lit(RADIX_BITS)) * (1 << RADIX_BITS), _shift(last, F.lit(RADIX_BITS)) * (1 << RADIX_BITS)
+        ends = (up > down) | (level == LEVELS - 1)
+        blocks = F.when(ends, between(first, last)).otherwise(F.concat(between(first, up), between(down, last)))
+        return F.transform(blocks, lambda block: F.struct(level.alias("level"), block.alias("block")))
 
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    return F.filter(F.flatten(F.transform(levels, at)), lambda b: b.isNotNull())
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
 
 
 def _nested(spans: DataFrame, log: DataFrame, cell: Sequence[str], groups: Sequence[str], by: Sequence[str],
             names: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """The same statistics by way of nested blocks of each day."""
+    """One entry per window and nested block of a day that helps to cover it."""
     midnight = F.date_from_unix_date("_day").cast("timestamp_ntz")
 
     def offset(ts: Column) -> Column:
@@ -170,24 +166,14 @@ def _nested(spans: DataFrame, log: DataFrame, cell: Sequence[str], groups: Seque
     parts = parts.select(*own, "w", F.inline(_covering_blocks(F.col("start"), F.col("end"))))
     levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
     leveled = log.withColumn("_time", time_of_day(F.col("_at"))).withColumn("level", F.explode(levels))
-    leveled = leveled.withColumn("block", _shift(F.col("_time"), F.col("level")))
+    leveled = leveled.withColumn("block", _shift(F.col("_time"), F.col("level") * RADIX_BITS))
     stats = [F.count("*").alias("_rows")]
     for v in values:
         stats += [F.min(v).alias(f"_{v}_min"), F.max(v).alias(f"_{v}_max"), F.sum(v).alias(f"_{v}_sum"),
                   F.count(v).alias(f"_{v}_n")]
     blocks = leveled.groupBy(*cell, "level", "block", *by).agg(*stats)
     pairs = parts.join(blocks, [*cell, "level", "block"])
-    out = []
-    for i, w in enumerate(names):
-        mine = F.col("w") == i
-        out.append(F.coalesce(F.sum(F.when(mine, F.col("_rows"))), F.lit(0)).alias(f"{w}_rows"))
-        for v in values:
-            p = f"{w}_{v}"
-            out += [F.min(F.when(mine, F.col(f"_{v}_min"))).alias(f"{p}_min"),
-                    F.max(F.when(mine, F.col(f"_{v}_max"))).alias(f"{p}_max"),
-                    F.sum(F.when(mine, F.col(f"_{v}_sum"))).alias(f"{p}_sum"),
-                    F.coalesce(F.sum(F.when(mine, F.col(f"_{v}_n"))), F.lit(0)).alias(f"{p}_n")]
-    return pairs.groupBy(*groups).agg(*out)
+    return pairs.withColumns({f"_in{i}": F.col("w") == i for i in range(len(names))}).select(*_entry_names(groups, names, values))
 
 
 def mean(prefix: str) -> Column:
