@@ -120,14 +120,15 @@ def train_and_evaluate(train: DataFrame, verify: DataFrame, cfg: TrainingConfig
                        seeds: Sequence[int] = range(10), network: bool = True,
                        store: StageStore | None = None) -> Evaluation:
     """Fit every model per seed, evaluate on the verify rows and keep the first run's predictions (runs jobs)."""
-    accuracy = classify.repeated_accuracy(train, verify, features=cfg.features, target=cfg.target, key=cfg.key, seeds=seeds)
-    if network:
-        accuracy = accuracy.unionByName(classify.repeated_accuracy(
-            train, verify, features=cfg.features, target=cfg.target, key=cfg.key, models=["dnn_model"], seeds=[0]))
-    predictions, confusion = {}, {}
-    for name in [*classify.REPEATED, *(["dnn_model"] if network else [])]:
-        predicted = classify.MODELS[name](train, verify, features=cfg.features, label=cfg.target, key=cfg.key, seed=0)
-        table = classify.attach_predictions(verify, predicted, key=cfg.key, target=cfg.target)
+    predictions: dict[str, DataFrame] = {}
+
+    def keep(name: str, table: DataFrame) -> DataFrame:
         predictions[name] = store.write(table, f"{name}_verify") if store else cut_lineage(table, name)
-        confusion[name] = confusion_matrix(predictions[name], cfg.target, f"model_{cfg.target}")
+        return predictions[name]
+
+    shared = {"features": cfg.features, "target": cfg.target, "key": cfg.key, "keep": keep}
+    accuracy = classify.repeated_accuracy(train, verify, seeds=seeds, **shared)
+    if network:
+        accuracy = accuracy.unionByName(classify.repeated_accuracy(train, verify, models=["dnn_model"], seeds=[0], **shared))
+    confusion = {name: confusion_matrix(table, cfg.target, f"model_{cfg.target}") for name, table in predictions.items()}
     return Evaluation(accuracy, mean_accuracy(accuracy), predictions, confusion)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,7 @@ RUNTIME_CONF = {
 }
 
 _local_scratch: str | None = None
+_shipped: set[str] = set()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -41,7 +45,27 @@ def build_session(app: str = "stayloom", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package's code to the Python workers, once per application, by way of the shared scratch folder.
+
+    Needed where the workers can't import it otherwise: a driver started from another folder, or executors without the package.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        root, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent).as_posix())
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{_application_folder(spark)}/stayloom.zip")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(target.toString())
+        _shipped.add(application)
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:

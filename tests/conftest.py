@@ -15,7 +15,7 @@ SMALL = os.environ.get("STAYLOOM_TEST_TABLES", "/root/testdata/sf0.001")
 def spark():
     session = build_session("tests", master="local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
-        "spark.driver.bindAddress": "127.0.0.1"})
+        "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     clear_scratch(session)
