@@ -249,6 +249,16 @@ def prepare_dataset(r: Roles) -> DataFrame:
     return prepare.concat_flagged(train, verify)
 
 
+@query("clean_external", "select id, " + ", ".join(COLUMNS) + ", label, (id % 2 = 0)::int model from r_features where ("
+       + " + ".join(f"({c} is not null)::int" for c in COLUMNS) + ") >= 4")
+def clean_external(r: Roles) -> DataFrame:
+    """All eligible rows of one source as train rows, against those of another, which lacks a column of the first."""
+    df = r.features().select("id", *COLUMNS, "label", F.lit(1).alias("sepsis"))
+    cfg = training.TrainingConfig(key="id", target="label", features=COLUMNS, extra=("name", "ward"), codes={}, completeness=0.8)
+    internal, external = df.where("id % 2 = 0").withColumn("ward", F.lit(3)), df.where("id % 2 = 1")
+    return training.clean_data(internal, cfg, external).select("id", *COLUMNS, "label", "model")
+
+
 @query("matching_flow")
 def matching_flow(r: Roles) -> DataFrame:
     """Treatment table to matched pairs in one go."""
