@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayloom.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_model
 from stayloom.llm.queries import TOKENIZER, bpe_digests, table
+from stayloom.operators.prepare import number_rows
 from stayloom.session import cut_lineage, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,10 +34,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id (NULL last) of each group of near duplicates, and every row without words.
 
-    Rows are grouped, not ids: each gets a key of its own, written with it, so of rows that share an id only those whose texts
-    are in one group go, and of equal rows one stays.
+    Rows are grouped, not ids: each gets a number of its own, written with it, so of rows that share an id only those whose texts
+    are in one group go, and of equal rows one stays. Numbers follow the ids, so that of documents that meet the first is compared
+    with all others, as without numbers.
     """
-    rows = cut_lineage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("place")), "rows")
+    rows = cut_lineage(number_rows(docs.select(COLUMNS), ["doc_id"], "place"), "rows")
     groups = jaccard_join.jaccard_groups(rows.select(F.col("place").alias("doc_id"), "text"))
     named = groups.select(F.col("doc_id").alias("place"), F.col("component_id").alias("group")).join(rows.select("place", "doc_id"), "place")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
