@@ -541,3 +541,31 @@ def test_network_steps_are_full_batch(spark):
         adam.step(plain.weights, plain.gradient(x, target)[1])
     for a, b in zip(net.weights, plain.weights):
         np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
+def test_network_step_in_parts_equals_one_over_all_rows(spark, monkeypatch):
+    from stayloom.operators import network
+    from stayloom.operators.network import HIDDEN, SIGMOID, Network, _blocks, _masks, summed_gradient
+
+    monkeypatch.setattr(network, "BLOCK_CELLS", 60)
+    monkeypatch.setattr(network, "PART_ROWS", 7)
+    rng = np.random.default_rng(5)
+    x, y, ids = rng.normal(size=(101, 3)), rng.integers(0, 2, 101).astype(float), rng.integers(-2**62, 2**62, 101)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], float(t)) for i, r, t in zip(ids, x, y)], "id bigint, x array<double>, y double")
+    blocks = _blocks(df.repartition(3), 3)
+    assert blocks.count() >= 6  # several rows to a record, and no record with all of them
+    net = Network.start(3, 2, HIDDEN, SIGMOID, 1)
+    loss, gradient = summed_gradient(blocks, net, 3, 0.1, 9)
+    want = net.gradient(x, np.column_stack([y, 1 - y]), _masks(ids, net, 0.1, 9))
+    assert loss == pytest.approx(want[0])
+    for a, b in zip(gradient, want[1]):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_network_drops_by_the_share_of_the_hash():
+    from stayloom.operators.network import _least_kept
+
+    for dropped in (0.0, 0.01, 0.3, 0.5, 0.9):
+        least = int(_least_kept(dropped))
+        hashes = np.array([h for h in range(least - 3, least + 3) if h >= 0], np.uint64)
+        assert ((hashes.astype(np.float64) / 2.0 ** 64 >= dropped) == (hashes >= np.uint64(least))).all()
