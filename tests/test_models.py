@@ -569,3 +569,28 @@ def test_network_drops_by_the_share_of_the_hash():
         least = int(_least_kept(dropped))
         hashes = np.array([h for h in range(least - 3, least + 3) if h >= 0], np.uint64)
         assert ((hashes.astype(np.float64) / 2.0 ** 64 >= dropped) == (hashes >= np.uint64(least))).all()
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5, 1.0])
+def test_boosting_ways_to_grow_agree(spark, monkeypatch, share):
+    """Joint bins, levels and tasks give one and the same model; no tree of one or two columns groups its rows."""
+    from stayloom.operators import boosting
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4)).round(1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=400)) > 0).astype(float)
+    df = classify.assemble_features(frame(spark, np.column_stack([x, y]), list("abcdy")).repartition(3), list("abcd"), label="y")
+    options = dict(trees=4, depth=4, step=0.3, column_share=share, absolute=0.5, seed=3, write_every=2)
+    models = []
+    for joint, finish in ((0, 0), (0, 1 << 20), (2, 0)):
+        monkeypatch.setattr(boosting, "JOINT_COLUMNS", joint)
+        models.append(boosting.fit_boosted_trees(df, "y", finish_rows=finish, **options))
+    if share < 1:
+        monkeypatch.setattr(boosting, "_finish", None)
+        monkeypatch.setattr(boosting, "_histograms", None)
+        models.append(boosting.fit_boosted_trees(df, "y", **options))
+    for model in models[1:]:
+        for a, b in zip(models[0].trees, model.trees):
+            assert a.column.tolist() == b.column.tolist() and a.code.tolist() == b.code.tolist()
+            np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
+    assert any((t.column >= 0).sum() > 3 for t in models[0].trees)
