@@ -594,3 +594,18 @@ def test_boosting_ways_to_grow_agree(spark, monkeypatch, share):
             assert a.column.tolist() == b.column.tolist() and a.code.tolist() == b.code.tolist()
             np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
     assert any((t.column >= 0).sum() > 3 for t in models[0].trees)
+
+
+def test_neighbours_look_into_near_boxes_only(monkeypatch):
+    """Of a pair of blocks, few distances are computed."""
+    rng = np.random.default_rng(8)
+    t, q = rng.uniform(size=(4000, 2)).round(3), rng.uniform(size=(500, 2)).round(3)
+    count, real = [0], neighbours.squared_distances
+    monkeypatch.setattr(neighbours, "squared_distances", lambda a, b: (count.__setitem__(0, count[0] + len(a) * len(b)), real(a, b))[1])
+    train = neighbours._table(neighbours.POINT, np.ones(4000, np.int64), np.arange(4000), t[:, 0], neighbours.pa.array(list(t)), np.zeros(4000))
+    asked = neighbours._table(neighbours.VISIT, np.arange(500), neighbours.pa.array(list(q)), np.ones(500, np.int64), np.full(500, np.inf), np.zeros(500))
+    got = neighbours._block_search(5)(train, asked).to_pandas()
+    d = real(q, t)
+    want = np.lexsort((np.broadcast_to(np.arange(4000), d.shape), d), axis=1)[:, :5]
+    assert got.sort_values(["query_key", "distance", "key"])["key"].tolist() == want.ravel().tolist()
+    assert count[0] < 500 * 4000 / 5
