@@ -609,3 +609,18 @@ def test_neighbours_look_into_near_boxes_only(monkeypatch):
     want = np.lexsort((np.broadcast_to(np.arange(4000), d.shape), d), axis=1)[:, :5]
     assert got.sort_values(["query_key", "distance", "key"])["key"].tolist() == want.ravel().tolist()
     assert count[0] < 500 * 4000 / 5
+
+
+def test_growing_a_tree_takes_little_memory():
+    import tracemalloc
+
+    from stayloom.operators.trees import grow
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(100_000, 5)).round(2), rng.integers(0, 2, 100_000)
+    x[:, 1:] = 0.0
+    tracemalloc.start()
+    grow(x, y, 2, range(5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(x)
