@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from copy import copy
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,8 +265,14 @@ def _clotting_ratio(s: IcuStudy, window) -> DataFrame:
 
 
 def _site_slice(s: IcuStudy) -> DataFrame:
-    sites = L.site_flags(s.t["suspicion_of_infection"], s.cohort, V.SITE_SPECIMENS).drop("count")
-    return C.flag_slice(s.wide_table.filter("sepsis"), sites, ~F.col("pulmonary"))
+    """Where the wide row has not been written, only the stays of the slice get one."""
+    few = copy(s)
+    few.__dict__["cohort"] = cohort = cut_lineage(s.cohort, "cohort")
+    sites = cut_lineage(L.site_flags(s.t["suspicion_of_infection"], cohort, V.SITE_SPECIMENS).drop("count").filter(~F.col("pulmonary")), "sites")
+    if "wide_table" not in s.__dict__:
+        picked = C.flag_slice(cohort.filter("sepsis"), sites, ~F.col("pulmonary")).select(*[F.col(k).alias(f"_{k}") for k in STAY_KEYS]).distinct()
+        few.__dict__["cohort"] = cohort.join(picked, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STAY_KEYS]), "left_semi")
+    return C.flag_slice(few.wide_table.filter("sepsis"), sites, ~F.col("pulmonary"))
 
 
 WIDE_VIEW = "self_sepsis_20230822"

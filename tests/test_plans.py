@@ -121,3 +121,35 @@ def test_views_are_refreshed_as_one_version(study, spark, tmp_path):
         assert store[name].schema.names == study.view(name).columns
         assert sorted(map(str, store[name].collect())) == sorted(map(str, study.view(name).collect()))
     assert set(IcuStudy.view_names()) >= {"self_collection", "self_sepsis_ali_collection", "self_sepsis_20230822"}
+
+
+def test_site_slice_makes_wide_rows_of_its_stays_only(spark, folder, monkeypatch):
+    from pyspark.sql import functions as F
+    from stayloom.operators import cohort as C
+    from stayloom.plans import icu
+    from stayloom.sources.roles import Roles
+    from verification.view_queries import study
+
+    made = []
+    whole = icu.IcuStudy.wide
+    monkeypatch.setattr(icu.IcuStudy, "wide", lambda self: (made.append(self.cohort.count()), whole(self))[1])
+
+    def flags(suspicion, stays, categories):  # three stays of the cohort, one without a stay id, of which the first two pass
+        ranked = stays.where("sepsis").orderBy("stay_id").limit(3).select("subject_id", "hadm_id", "stay_id").collect()
+        rows = [(r[0], r[1], None if i == 1 else r[2], i == 2, 1) for i, r in enumerate(ranked)]
+        return spark.createDataFrame(rows, "subject_id bigint, hadm_id bigint, stay_id bigint, pulmonary boolean, count bigint").select(
+            "*", *[F.lit(False).alias(c) for c in categories if c != "pulmonary"])
+
+    monkeypatch.setattr(icu.L, "site_flags", flags)
+    a = study(Roles(spark, folder))
+    got = a.view("self_sepsis_ali_20230824")
+    sites = flags(None, a.cohort, icu.V.SITE_SPECIMENS).drop("count")
+    want = C.flag_slice(cut(whole(a)).filter("sepsis"), sites, ~F.col("pulmonary")).select(got.columns)
+    assert got.count() >= 2 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert made[0] < a.cohort.count()
+
+
+def cut(df):
+    from stayloom.session import cut_lineage
+
+    return cut_lineage(df)
