@@ -319,23 +319,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int | None = N
         return np.log((among_good + prior) / (n * (good / raw) + prior))
 
     def add_cell(records: list[tuple[int, int, int, bytes]], sums: dict[int, np.ndarray]) -> None:
-        """To each document the weights of its grams in one cell."""
+        """To each document the weights of its grams in one cell; unpacked twice, so that only distinct grams of all blocks are held."""
         at = [0] * len(records)
         for _ in range(2):
-            parts = []
+            begin, parts = list(at), []
             for i, (_, _, n_good, data) in enumerate(records):
                 key, texts, text, n, at[i] = unpack_grams(data, at[i])
                 first = np.cumsum(texts) - texts
-                own = [np.add.reduceat(x, first) if len(first) else x for x in (n, n * (text < n_good))]
-                parts.append((key, *own, texts, text, n))
-            _, gram = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            total, among_good = (np.bincount(gram, weights=np.concatenate([x[k] for x in parts])) for k in (1, 2))
-            each = weight(total, among_good)[gram]
+                parts.append((key, *(np.add.reduceat(x, first) if len(first) else x for x in (n, n * (text < n_good)))))
+            key, total, among_good = (np.concatenate(x) for x in zip(*parts))
+            _, gram = np.unique(key, return_inverse=True)
+            each = weight(np.bincount(gram, weights=total), np.bincount(gram, weights=among_good))[gram]
             done = 0
-            for (block, size, _, _), (key, _, _, texts, text, n) in zip(records, parts):
-                value = np.repeat(each[done:done + len(key)], texts) * n
+            for i, (block, size, _, data) in enumerate(records):
+                _, texts, text, n, _ = unpack_grams(data, begin[i])
+                value = np.repeat(each[done:done + len(texts)], texts) * n
                 sums[block] = sums.get(block, 0.0) + np.bincount(text, weights=value, minlength=size)
-                done += len(key)
+                done += len(texts)
 
     def weigh(batches):
         """The sums of all blocks over the cells of this task, and the documents as they came."""
