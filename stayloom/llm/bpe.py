@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stayloom.llm import textkit as K
 
 LONG_PIECE = 512
-REMEMBERED, HELD_CHARACTERS = 200_000, 1 << 24
+REMEMBERED, HELD_CHARACTERS, EXACT_BYTES = 200_000, 1 << 24, 1 << 22
 ENCODE_SLICE = 1 << 20
 MARK = "\0special "  # no piece of the pattern holds both a control character and letters
 # The split pattern of the public byte-level vocabulary.
@@ -70,6 +70,7 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.exact: dict[bytes, list[int]] = {}
+        self.exact_bytes = 0
         self.rows: dict[str, int] = {}
         self.held = 0
         self._trie(tokens, spec["plain"])
@@ -88,15 +89,24 @@ class Codec:
                     accept.append(-1)
             accept[prefixes[token]] = i
         e = np.array(edges, np.int64)
-        inner = np.zeros(len(accept), bool)
-        inner[e[:, 0]] = True
-        number = np.argsort(np.argsort(~inner, kind="stable"))  # nodes with children come first, only they have a row
-        self.inner = int(inner.sum())
-        self.next = np.zeros((self.inner + 1, 256), np.int32)
-        self.next[number[e[:, 0]], e[:, 1]] = number[e[:, 2]]
+        children = np.bincount(e[:, 0], minlength=len(accept))
+        number = np.argsort(np.argsort(-np.minimum(children, 2), kind="stable"))  # first nodes of several children, then of one
+        self.forks, self.inner = int((children > 1).sum()), int((children > 0).sum())
+        parent, byte, child = number[e[:, 0]], e[:, 1], number[e[:, 2]]
+        self.next = np.zeros((self.forks + 1, 256), np.int32)  # only forks have a row, the last row is empty
+        fork = parent < self.forks
+        self.next[parent[fork], byte[fork]] = child[fork]
+        self.only_byte, self.only_child = np.full(self.inner + 1, -1, np.int16), np.zeros(self.inner + 1, np.int32)
+        self.only_byte[parent[~fork]], self.only_child[parent[~fork]] = byte[~fork], child[~fork]
         self.accept = np.empty(len(accept), np.int32)
         self.accept[number] = accept
 
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node by a byte; 0, the root, where there is none."""
+        inner = np.minimum(node, self.inner)
+        only = np.where(self.only_byte[inner] == byte, self.only_child[inner], 0)
+        return np.where(node < self.forks, self.next[np.minimum(node, self.forks), byte], only)
+
     def _spines(self, merges) -> None:
         """Per token the pieces on its right and left edge, from itself down to one byte, and the rank that ends each."""
         never = len(merges) + 1
@@ -127,9 +137,10 @@ class Codec:
         for i in plain:
             self.stable[i] = self.merged(tokens[i]) == [i]
         self.exact.clear()
+        self.exact_bytes = 0
 
     def merged(self, piece: bytes) -> list[int]:
-        """Exact merging of one piece with a heap of (rank, place); remembers a bounded number of pieces."""
+        """Exact merging of one piece with a heap of (rank, place); remembers pieces of bounded number and size."""
         have = self.exact.get(piece)
         if have is not None:
             return have
@@ -156,9 +167,11 @@ class Codec:
                     if found:
                         heapq.heappush(heap, (found[0], left, ids[left], ids[right], found[1]))
         out = [t for t in ids if t >= 0]
-        if len(self.exact) >= REMEMBERED:
+        if len(self.exact) >= REMEMBERED or self.exact_bytes > EXACT_BYTES:
             self.exact.clear()
+            self.exact_bytes = 0
         self.exact[piece] = out
+        self.exact_bytes += n
         return out
 
     def merged_together(self, raw: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +206,7 @@ class Codec:
         who, what = [], []
         while len(at):
             inside = at < stop
-            step = np.where(inside, self.next[np.minimum(node, self.inner), raw[np.minimum(at, len(raw) - 1)]], 0)
+            step = np.where(inside, self.follow(node, raw[np.minimum(at, len(raw) - 1)]), 0)
             go = step > 0
             at, node = at + go, np.where(go, step, 0)
             token = self.accept[node]
@@ -301,7 +314,17 @@ class Codec:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
 
 
-_codecs: dict[int, Codec] = {}  # of this worker process; only the latest vocabulary stays
+class Vocabulary:
+    """What is broadcast of a tokenizer file; a worker makes the tables once and holds them as long as Spark leaves the broadcast there."""
+
+    def __init__(self, spec: dict):
+        self.spec: dict | None = spec
+        self.codec: Codec | None = None
+
+    def tables(self) -> Codec:
+        if self.codec is None:
+            self.codec, self.spec = Codec(self.spec), None
+        return self.codec
 
 
 def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -309,14 +332,10 @@ def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _run(df: DataFrame, path: str, schema: str, build) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    key = hash((path, shared._jbroadcast.id()))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(read_tokenizer(path)))
 
     def work(batches):
-        if key not in _codecs:
-            _codecs.clear()
-            _codecs[key] = Codec(shared.value)
-        yield from build(_codecs[key], batches)
+        yield from build(shared.value.tables(), batches)
 
     return K.map_arrow(df, work, schema)
 

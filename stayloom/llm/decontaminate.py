@@ -246,4 +246,4 @@ def _search(frame: DataFrame, block: Block, coverage_limit: float) -> DataFrame:
                 out.append({"n_words": count, "n_hit": n_hit, "items": sorted(listed), "spans": spans, "cleaned": cleaned})
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(out, struct)], schema=pa.schema([part.schema.field("doc"), ("found", struct)]))
 
-    return frame.mapInArrow(work, schema)
+    return K.map_arrow(frame, work, schema)

@@ -104,4 +104,4 @@ def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
 
     joined = rows.join(marked, ["doc_id", "digest"], "left").select("doc", "copy", "gone")
     schema = T.StructType([joined.schema["doc"], *T.StructType.fromDDL("n_lines bigint, n_removed bigint, cleaned string").fields])
-    return joined.mapInArrow(cut, schema)
+    return K.map_arrow(joined, cut, schema)

@@ -185,4 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
             yield part.filter(pa.array(value >= CUT))
 
     packed = docs.select(K.pack(docs))
-    return packed.mapInArrow(choose, packed.schema).select("doc.*")
+    return K.map_arrow(packed, choose, packed.schema).select("doc.*")

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 19
 BYTE_BASE, GRAM_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F
@@ -228,7 +229,7 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` that hands Arrow's free memory back after each task, since workers are used again by later stages."""
 
     def task(batches):
@@ -277,4 +278,5 @@ def with_partner(df: DataFrame, key: str, *rest: str) -> DataFrame:
         if held is not None:
             yield held[0]
 
-    return df.repartitionByRange(key, *rest).sortWithinPartitions(key, *rest).mapInArrow(meet, df.schema)
+    ordered = df.repartitionByRange(key, *rest).sortWithinPartitions(key, *rest)
+    return map_arrow(ordered, meet, df.schema)
