@@ -21,7 +21,8 @@ def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return fn(tune(spark), docs, sf_dir)
+        tune(docs.sparkSession)
+        return fn(spark, docs, sf_dir)
 
     return run_stage
 
