@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -562,6 +564,62 @@ def test_network_step_in_parts_equals_one_over_all_rows(spark, monkeypatch):
         np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("alone", [0, 1 << 16])
+@pytest.mark.parametrize("sigmoid", [(False, True, True, False), (False, False, False, True), (True, False, False, False)])
+def test_network_by_jobs_and_by_one_task_takes_the_same_steps(spark, monkeypatch, alone, sigmoid):
+    """Each step is the plain gradient over all rows with the units dropped that the row's hash names."""
+    from stayloom.operators import network
+
+    jobs, run = [], network._gradient_job
+    monkeypatch.setattr(network, "ALONE_ROWS", alone)
+    monkeypatch.setattr(network, "BLOCK_CELLS", 60)
+    monkeypatch.setattr(network, "_gradient_job", lambda *a: jobs.append(1) or run(*a))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 3)) * [1, 100, 0.01] + 5
+    y = (x[:, 0] > 5).astype(float)
+    df = frame(spark, np.column_stack([x, y]), list("abcy")).repartition(3)
+    net = network.fit_network(df, list("abc"), "y", key="id", steps=5, rate=0.01, dropped=0.2, sigmoid=sigmoid, seed=4)
+    ids = np.array([r[0] for r in df.select(F.xxhash64("id"), "id").orderBy("id").collect()])
+    plain = network.Network.start(3, 2, network.HIDDEN, sigmoid, 4)
+    plain.mean, plain.scale = x.mean(axis=0), x.std(axis=0)
+    adam, target = network.Adam(plain.weights, 0.01), np.column_stack([y, 1 - y])
+    for turn in range(5):
+        adam.step(plain.weights, plain.gradient(x, target, network._masks(ids, plain, 0.2, 4 + turn))[1])
+    for a, b in zip(net.weights, plain.weights):
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
+    assert len(jobs) == (0 if alone else 5)
+
+
+@pytest.mark.parametrize("name", ["mlp_classify"])
+def test_queries_fit_the_whole_network(spark, monkeypatch, name):
+    """The steps, rate, layers and dropped share of the study, and every train row."""
+    from types import SimpleNamespace
+
+    from stayloom.operators import network
+    from verification import model_queries
+
+    taken = []
+
+    def descend(net, steps, rate, gradient):
+        taken.append((steps, rate, [w.shape for w in net.weights], net.sigmoid))
+
+    def fit(train, *args, **options):
+        asked = inspect.signature(network.fit_network).bind(train, *args, **options)
+        asked.apply_defaults()
+        taken.append((train.count(), asked.arguments["dropped"]))
+        return network.fit_network(train, *args, **options)
+
+    monkeypatch.setattr(network, "ALONE_ROWS", 0)
+    monkeypatch.setattr(network, "_descend", descend, raising=False)
+    monkeypatch.setattr(classify, "fit_network", fit)
+    monkeypatch.setattr(classify, "MODELS", {"dnn_model": classify.MODELS["dnn_model"]})
+    rows = [(i, float(i), 2.0, 0.1 * i, None if i == 3 else 1.0, i % 7.0, i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, f1 double, f2 double, f3 double, f4 double, f5 double, label int")
+    got = getattr(model_queries, name)(SimpleNamespace(features=lambda: df))
+    assert got.count() == 4
+    assert taken == [(16, 0.01), (12_000, 0.0002, [(6, 96), (97, 64), (65, 16), (17, 2)], (False, True, True, False))]
+
+
 def test_network_drops_by_the_share_of_the_hash():
     from stayloom.operators.network import _least_kept
 
