@@ -590,7 +590,7 @@ def test_network_by_jobs_and_by_one_task_takes_the_same_steps(spark, monkeypatch
     assert len(jobs) == (0 if alone else 5)
 
 
-@pytest.mark.parametrize("name", ["mlp_classify"])
+@pytest.mark.parametrize("name", ["mlp_classify", "predictions_table"])
 def test_queries_fit_the_whole_network(spark, monkeypatch, name):
     """The steps, rate, layers and dropped share of the study, and every train row."""
     from types import SimpleNamespace
